@@ -1 +1,10 @@
+"""All registered queries. Importing the modules fills the registry."""
 
+import importlib
+
+from wxspark.catalog.base import ORACLES, QUERIES
+
+for _module in ("features",):
+    importlib.import_module(f"wxspark.catalog.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -13,7 +13,7 @@ from wxspark.schema import STATION, TARGETS, TS
 
 
 def _int(x):
-    return F.floor(x + F.lit(1e-9)).cast("long")
+    return F.floor(x).cast("long")
 
 
 def win_split(

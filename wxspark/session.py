@@ -53,3 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a frame that several passes read to a table in the shared folder and read it back.
+
+    The passes then scan a compact columnar table instead of repeating the work that made it, and survive lost executors.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wxspark.operators import timeline
+from wxspark.session import stored
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/events.parquet")
@@ -72,3 +75,26 @@ def customer_points(spark: SparkSession, path: str) -> DataFrame:
         (8 + (c % 2800) / F.lit(100.0)).alias("lat"),
         (68 + (c * 7 % 2700) / F.lit(100.0)).alias("lon"),
     )
+
+
+def panel_table(spark: SparkSession, path: str) -> DataFrame:
+    """The panel as a written table, for operators that pass over it more than once: one scan of the raw events."""
+    return stored(panel(spark, path), "panel")
+
+
+def forecast_log(obs: DataFrame, *, target: str = "temperature", shape: timeline.Shape | None = None) -> DataFrame:
+    """A log of three simple forecasters: station, ts, target, actual, model, prediction (null while too young)."""
+
+    def cols(w):
+        last6 = w.rowsBetween(-6, -1)
+        return {
+            "persist": F.lag(target, 1).over(w),
+            "daily": F.lag(target, 24).over(w),
+            "mean6": F.when(F.count(target).over(last6) == 6, F.avg(target).over(last6)),
+        }
+
+    wide = timeline.over_rows(obs.select("station", "ts", target), cols, back=24, shape=shape)
+    long = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(m).alias("prediction")) for m in ("persist", "daily", "mean6")]
+    )
+    return wide.select("station", "ts", F.lit(target).alias("target"), F.col(target).alias("actual"), F.inline(long))
