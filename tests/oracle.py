@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import sys
 import time
 
@@ -74,12 +75,19 @@ def main(argv: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(path)
     failed = 0
+
+    def late(*_):
+        raise TimeoutError("over 60 s")
+
+    signal.signal(signal.SIGALRM, late)
     for n in names:
         t0 = time.time()
+        signal.alarm(60)
         try:
             why = compare(spark, con, n, path)
         except Exception as e:  # noqa: BLE001
             why = f"{type(e).__name__}: {str(e)[:600]}"
+        signal.alarm(0)
         failed += why is not None
         print(f"{'ok ' if why is None else 'BAD'} {n} {time.time() - t0:.2f}s {'' if n in ORACLES else '(rows only)'} {why or ''}", flush=True)
     print(f"{len(names) - failed} of {len(names)} ok")

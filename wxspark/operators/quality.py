@@ -29,6 +29,11 @@ MIN_ROWS = {"prepare": 24, "train": 100, "series": 50, "fuzzy": 10}
 FLAT_COLUMNS = [TS, *BASE, "latitude", "longitude"]
 
 
+def _tenth(x: Column) -> Column:
+    """One decimal, with a tiny shift so that ties read the same in every engine."""
+    return F.round(x + 1e-9, 1)
+
+
 def _out_of_range(c: str) -> Column:
     lo, hi, closed = RANGES[c]
     bad = F.col(c) < lo if closed else F.col(c) <= lo
@@ -122,7 +127,7 @@ def agg_quality(df, *, station: str = STATION, ts: str = TS, strict: bool = Fals
     ]
     for c, (lo, hi, word) in SERIES_LIMITS.items():
         a, b = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        checks.append(F.when((a < lo) | (b > hi), F.format_string(f"{word} {c} values: %.1f to %.1f", a, b)))
+        checks.append(F.when((a < lo) | (b > hi), F.format_string(f"{word} {c} values: %.1f to %.1f", _tenth(a), _tenth(b))))
     g = g.withColumn("issues", F.filter(F.array(*checks), lambda i: i.isNotNull()))
     valid = F.size("issues") <= 2
     if strict:
