@@ -33,9 +33,18 @@ def agg_series_profile(df, *, target: str, station: str = STATION) -> DataFrame:
 # ---- moments ------------------------------------------------------------------------------------------------------
 
 
+NARROW = 8
+
+
 def moments(df: DataFrame, variables: Sequence[str], *, station: str = STATION) -> DataFrame:
-    """station, n, means[k], cov[k*(k+1)/2] (lower triangle by rows) over rows where all variables are known."""
+    """station, n, means[k], cov[k*(k+1)/2] (lower triangle by rows) over rows where all variables are known.
+
+    A few variables stay native. Many would need hundreds of aggregate expressions, so there each Arrow batch is reduced
+    to one row of sums per series by a matrix product and Spark adds those up.
+    """
     full = df.dropna(subset=list(variables))
+    if len(variables) > NARROW:
+        return _batched_moments(full.select(station, F.array(*[F.col(v).cast("double") for v in variables]).alias("x")), len(variables), station)
     pairs = [(a, b) for i, a in enumerate(variables) for b in variables[: i + 1]]
     return full.groupBy(station).agg(
         F.count(F.lit(1)).alias("n"),
@@ -44,6 +53,36 @@ def moments(df: DataFrame, variables: Sequence[str], *, station: str = STATION)
     )
 
 
+def _batched_moments(vectors: DataFrame, k: int, station: str) -> DataFrame:
+    kind = vectors.schema[station].dataType.simpleString()
+    low = np.tril_indices(k)
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, part in pdf.groupby(station, sort=False)["x"]:
+                x = np.stack(part.to_numpy())
+                rows.append((key, np.concatenate([[float(len(x))], x.sum(axis=0), (x.T @ x)[low]])))
+            yield pd.DataFrame(rows, columns=[station, "s"])
+
+    sums = (
+        vectors.mapInPandas(reduce, f"{station} {kind}, s array<double>")
+        .select(station, F.posexplode("s"))
+        .groupBy(station, "pos")
+        .agg(F.sum("col").alias("v"))
+        .groupBy(station)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda r: r["v"]).alias("s"))
+    )
+    rows, cols = [F.array(*[F.lit(int(i)) for i in ix]) for ix in low]
+    n = F.col("s")[0]
+    mean = F.transform(F.slice("s", 2, k), lambda v: v / n)
+    out = sums.select(station, n.cast("long").alias("n"), mean.alias("means"), F.slice("s", 2 + k, len(low[0])).alias("ss"))
+    cov = F.transform(
+        "ss", lambda v, i: v / F.col("n") - F.get("means", F.get(rows, i)) * F.get("means", F.get(cols, i))
+    )
+    return out.select(station, "n", "means", cov.alias("cov"))
+
+
 def _matrix(flat: np.ndarray, k: int) -> np.ndarray:
     m = np.zeros((k, k))
     m[np.tril_indices(k)] = flat
