@@ -133,7 +133,10 @@ def dedup_coords(spark, path):
     return P.dedup_coords(P.union_search(*both(spark, path)), limit=50)
 
 
-@query("india_first", "SELECT * FROM inf", keys="query name country", ints="position", nums="lat lon", ctes=SEARCH)
+@query(
+    "india_first", "SELECT *, CASE WHEN lower(country) IN ('india','in') THEN 0 ELSE 1 END AS home FROM dd",
+    keys="query name country", ints="home priority rank", nums="lat lon", ctes=SEARCH,
+)
 def india_first(spark, path):
     return P.india_first(P.dedup_coords(P.union_search(*both(spark, path))))
 

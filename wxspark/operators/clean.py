@@ -12,7 +12,9 @@ from wxspark.operators import timeline
 from wxspark.operators.timeline import Shape, join_small, measure
 from wxspark.schema import BASE, STATION, TARGETS, TS
 
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 20_000
+MAX_GROUP_VALUES = 5_000_000
+SKETCH_COLUMNS = 16
 
 
 def _name(column: str, p: float) -> str:
@@ -30,16 +32,29 @@ def station_quantiles(
 ) -> DataFrame:
     """Exact linear quantiles per station, one row per station, columns ``{c}__q{1000p}``.
 
-    Series of checked length go through the exact percentile aggregate. A longer series would hold its distinct values
-    in one task, so there a mergeable sketch brackets each order statistic first and only the rows inside the bracket
-    are counted by value.
+    Series of checked length go through the exact percentile aggregate, as many columns at a time as one task may hold.
+    A longer series would keep too many distinct values in one task, so there a mergeable sketch brackets each order
+    statistic first and only the rows inside the bracket are counted by value.
     """
     shape = shape or measure(df, station)
-    if shape.whole:
-        return df.groupBy(station).agg(
-            *[F.percentile(c, F.lit(float(p))).alias(_name(c, p)) for c in columns for p in probs]
-        )
-    return _bracketed(df, columns, probs, station, accuracy, shape)
+    columns = list(columns)
+    size = MAX_GROUP_VALUES // max(shape.longest, 1) if shape.whole else SKETCH_COLUMNS
+    exact, size = shape.whole and size > 0, max(size, 1)
+    parts = []
+    for i in range(0, len(columns), size):
+        some = columns[i : i + size]
+        if exact:
+            parts.append(
+                df.groupBy(station).agg(
+                    *[F.percentile(c, F.lit(float(p))).alias(_name(c, p)) for c in some for p in probs]
+                )
+            )
+        else:
+            parts.append(_bracketed(df, some, probs, station, accuracy, shape))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, station)
+    return out
 
 
 def _bracketed(df, columns, probs, station, accuracy, shape) -> DataFrame:
@@ -205,7 +220,9 @@ def fit_scaler(df, kind: str, columns: Sequence[str], *, station=STATION, shape:
         )
     else:
         raise ValueError(f"unknown scaler: {kind}")
-    one = {f"{c}__scale": F.when(F.col(f"{c}__scale") == 0, F.lit(1.0)).otherwise(F.col(f"{c}__scale")) for c in columns}
+    # A constant column may keep a rounding residue; it counts as zero.
+    tiny = lambda c: F.col(f"{c}__scale") <= 1e-12 * F.greatest(F.abs(F.col(f"{c}__center")), F.lit(1.0))
+    one = {f"{c}__scale": F.when(tiny(c), F.lit(1.0)).otherwise(F.col(f"{c}__scale")) for c in columns}
     return raw.withColumns(one)
 
 

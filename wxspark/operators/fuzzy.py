@@ -76,17 +76,22 @@ def fz_fuzzify(df, universe: DataFrame, cfg: FuzzyConfig = FuzzyConfig(), *, sha
     the only join is with one universe row per station.
     """
     shape = shape or measure(df, cfg.station)
-    x, width = F.col(cfg.target), _step(cfg) * (1 + cfg.overlap)
-    grades = F.array(*[membership(x, _center(F.lit(i), cfg), width) for i in range(cfg.sets)])
-    u = join_small(df, universe, [cfg.station], shape.few).withColumn("_g", grades)
-    best = F.when(F.array_max("_g") > 0, F.array_position("_g", F.array_max("_g")).cast("int") - 1)
-    far = F.when(x > F.col("u_max"), cfg.sets - 1).otherwise(0) if cfg.nearest else F.lit(0)
-    no = F.when(x.isNotNull(), F.coalesce(best, far))
+    x = F.col(cfg.target)
     names = F.array(*[F.lit(t) for t in cfg.terms])
-    out = u.withColumn("set_no", no).drop("_g")
+    u = join_small(df, universe, [cfg.station], shape.few)
+    out = u.withColumn("set_no", F.when(x.isNotNull(), best_set(x, cfg)))
     return out.withColumn("label", F.when(F.col("set_no").isNotNull(), F.get(names, F.col("set_no")))).drop("u_min", "u_max")
 
 
+def best_set(x: Column, cfg: FuzzyConfig) -> Column:
+    """Number of the set that holds x best; needs u_min and u_max."""
+    width = _step(cfg) * (1 + cfg.overlap)
+    grades = F.array(*[membership(x, _center(F.lit(i), cfg), width) for i in range(cfg.sets)])
+    top = F.array_max(grades)
+    far = F.when(x > F.col("u_max"), cfg.sets - 1).otherwise(0) if cfg.nearest else F.lit(0)
+    return F.when(top > 0, F.array_position(grades, top).cast("int") - 1).otherwise(far)
+
+
 def antecedent(w, order: int) -> Column:
     """Labels of the previous ``order`` rows, oldest first; null where the series is too young."""
     parts = [F.lag("label", k).over(w) for k in range(order, 0, -1)]
@@ -213,3 +218,41 @@ def fz_fitted(df, cfg: FuzzyConfig = FuzzyConfig(), *, shape: Shape | None = Non
 
 def fz_backtest(df, cfg: FuzzyConfig = FuzzyConfig(), *, shape: Shape | None = None) -> DataFrame:
     return agg_metrics(fz_fitted(df, cfg, shape=shape), by=[cfg.station])
+
+
+def fz_fit(df, cfg: FuzzyConfig = FuzzyConfig(), *, shape: Shape | None = None) -> DataFrame:
+    """Fitted first-order model, one small row per station: universe and, for each label, the value it leads to and the
+    label of that value."""
+    if cfg.order != 1:
+        raise ValueError("recursive forecasts need order 1")
+    universe, labelled = prepare(df, cfg, shape=shape or measure(df, cfg.station))
+    rules = _rule_outputs(agg_rule_counts(labelled, cfg), universe, cfg)
+    sets = fz_sets(universe, cfg).join(universe, cfg.station)
+    j = sets.join(rules.withColumnRenamed("antecedent", "label"), [cfg.station, "label"], "left")
+    j = j.withColumn("value", F.coalesce("rule_value", "center"))
+    j = j.withColumn("next_no", best_set(F.col("value"), cfg))
+    return j.groupBy(cfg.station, "u_min", "u_max").agg(
+        F.array_sort(F.collect_list(F.struct("set_no", "value", "next_no"))).alias("map")
+    )
+
+
+def fz_multi_step(
+    df, steps: int, cfg: FuzzyConfig = FuzzyConfig(), *, params: DataFrame | None = None, shape: Shape | None = None
+) -> DataFrame:
+    """Recursive forecast from the newest known value: station, last_ts, step, prediction. The steps are a native fold
+    over the label map of the station."""
+    params = fz_fit(df, cfg, shape=shape) if params is None else params
+    x = F.col(cfg.target)
+    last = df.groupBy(cfg.station).agg(
+        F.max(cfg.ts).alias("last_ts"), F.max_by(x, F.when(x.isNotNull(), F.col(cfg.ts))).alias("_x")
+    )
+    j = last.join(params, cfg.station).withColumn("at", best_set(F.col("_x"), cfg))
+    start = F.struct(F.col("at").alias("at"), F.array().cast("array<double>").alias("out"))
+
+    def advance(acc, _):
+        here = F.get("map", acc["at"])
+        return F.struct(here["next_no"].alias("at"), F.concat(acc["out"], F.array(here["value"])).alias("out"))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance, lambda acc: acc["out"])
+    out = j.select(cfg.station, "last_ts", F.posexplode(path).alias("i", "prediction"))
+    return out.select(cfg.station, "last_ts", (F.col("i") + 1).alias("step"), "prediction")

@@ -139,25 +139,36 @@ def union_search(*results: DataFrame) -> DataFrame:
     return out
 
 
+def _first_per_place(results: DataFrame, order: Sequence[str], digits: int, lat: str, lon: str) -> DataFrame:
+    """Smallest row by ``order`` of each rounded place and query: a grouped minimum that combines before the shuffle."""
+    rest = [c for c in results.columns if c != "query" and c not in order]
+    best = results.groupBy("query", F.round(lat, digits).alias("_y"), F.round(lon, digits).alias("_x")).agg(
+        F.min(F.struct(*order, *rest)).alias("r")
+    )
+    return best.select("query", "r.*")
+
+
+def _top(results: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """First rows of each query with ``position``. Every task keeps only its own first rows before the shuffle."""
+    w = Window.partitionBy("query").orderBy(*order)
+    return results.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+
+
 def dedup_coords(results: DataFrame, *, limit: int | None = None, lat="lat", lon="lon", digits: int = 2) -> DataFrame:
-    """First result of each rounded place per query, then the first ``limit``; ``position`` is the new order.
+    """First result of each rounded place per query; with ``limit`` also the first places only, numbered by ``position``."""
+    order = ["priority", "rank"]
+    first = _first_per_place(results, order, digits, lat, lon)
+    return first if limit is None else _top(first, order, limit)
 
-    The first pass is a grouped minimum that combines before the shuffle; only places that survive it are ordered.
-    """
-    rest = [c for c in results.columns if c not in ("query", "priority", "rank")]
-    first = results.groupBy("query", F.round(lat, digits).alias("_y"), F.round(lon, digits).alias("_x")).agg(
-        F.min(F.struct("priority", "rank", *rest)).alias("r")
-    )
-    w = Window.partitionBy("query").orderBy("priority", "rank")
-    out = first.select("query", "r.*").withColumn("position", F.row_number().over(w))
-    return out if limit is None else out.filter(F.col("position") <= limit)
+
+def with_home(results: DataFrame) -> DataFrame:
+    """``home`` is 0 for Indian places and 1 for others."""
+    return results.withColumn("home", F.when(F.lower("country").isin("india", "in"), 0).otherwise(1))
 
 
 def india_first(results: DataFrame) -> DataFrame:
-    """Stable order with Indian places in front."""
-    home = F.when(F.lower("country").isin("india", "in"), 0).otherwise(1)
-    w = Window.partitionBy("query").orderBy(home, "position")
-    return results.withColumn("position", F.row_number().over(w))
+    """Indian places in front, otherwise the order of the results (a distributed sort)."""
+    return with_home(results).orderBy("query", "home", "priority", "rank")
 
 
 def _city_options() -> Column:
@@ -179,14 +190,14 @@ def match_cities(queries: DataFrame) -> DataFrame:
     return queries.select("query").distinct().select("query", F.inline(F.filter(_city_options(), hit)))
 
 
-def search_locations(queries: DataFrame, *provider_results: DataFrame, limit: int = 10) -> DataFrame:
+def search_locations(queries: DataFrame, *provider_results: DataFrame, limit: int = 10, digits: int = 2) -> DataFrame:
     """Cities that match, then the provider results (India first), one per rounded place, up to ``limit`` a query."""
-    own = match_cities(queries)
-    parts = [own]
+    order = ["step", "home", "priority", "rank"]
+    everything = match_cities(queries).withColumns({"step": F.lit(0), "home": F.lit(0), "priority": F.lit(0)})
     if provider_results:
-        merged = india_first(dedup_coords(union_search(*provider_results)))
-        parts.append(merged.drop("priority", "rank").withColumnRenamed("position", "rank"))
-    return dedup_coords(union_search(*parts), limit=limit)
+        merged = with_home(dedup_coords(union_search(*provider_results), digits=digits)).withColumn("step", F.lit(1))
+        everything = everything.unionByName(merged, allowMissingColumns=True)
+    return _top(_first_per_place(everything, order, digits, "lat", "lon"), order, limit)
 
 
 def limit_cities(requests: DataFrame, *, limit: str = "limit") -> DataFrame:
