@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,10 +45,10 @@ flog AS (SELECT station, ts, 'temperature' AS target, actual, 'persist' AS model
 
 
 def final(df: DataFrame, keys, ints, nums, digits=6) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         *keys,
-        *[F.col(c).cast("bigint").alias(c) for c in ints],
-        *[(F.round(F.col(c).cast("double") + F.lit(1e-9), digits) + F.lit(0.0)).alias(c) for c in nums],
+        *[f"CAST({c} AS BIGINT) AS {c}" for c in ints],
+        *[f"round(CAST({c} AS DOUBLE) + 1e-9D, {digits}) + 0.0D AS {c}" for c in nums],
     )
 
 

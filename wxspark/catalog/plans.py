@@ -45,7 +45,7 @@ def pipe_sql(fit: str, use: str) -> str:
 
 @query("pipe_train", "SELECT * FROM scaled", keys="station ts", nums=" ".join(ALL), ctes=pipe_sql("true", "true"), digits=5)
 def pipe_train(spark, path):
-    return pipeline.pipe_train(panel(spark, path), store=lambda df: stored(df, "wide"))[0]
+    return pipeline.pipe_train(panel_table(spark, path))[0]
 
 
 FIRST = "day(ts) <= 20"
@@ -56,8 +56,7 @@ def pipe_predict(spark, path):
     """Parameters from the first 20 days, applied to all days."""
     obs = panel_table(spark, path)
     wide = stored(features.engineered(obs), "wide").filter(F.dayofmonth("ts") <= 20)
-    params = stored(pipeline.fit_pipeline(wide), "params")
-    return pipeline.pipe_predict(obs, params)
+    return pipeline.pipe_predict(obs, pipeline.fit_pipeline(wide))
 
 
 @query("pipe_restore", "SELECT station, ts, " + ", ".join(BASE) + " FROM clipped", keys="station ts", nums=" ".join(BASE),
@@ -65,7 +64,7 @@ def pipe_predict(spark, path):
        + ", ".join(f"greatest(least({c}, {c}_b+1.5::DOUBLE*({c}_b-{c}_a)), {c}_a-1.5::DOUBLE*({c}_b-{c}_a)) AS {c}" for c in BASE) + " FROM panel JOIN qq USING (station))")
 def pipe_restore(spark, path):
     obs = panel_table(spark, path)
-    scaled, params = pipeline.pipe_train(obs, engineered=True, store=lambda df: stored(df, "wide"))
+    scaled, params = pipeline.pipe_train(obs, engineered=True)
     return pipeline.restore(scaled, params, BASE)
 
 

@@ -15,6 +15,7 @@ from wxspark.schema import BASE, STATION, TARGETS, TS
 SKETCH_ACCURACY = 20_000
 MAX_GROUP_VALUES = 5_000_000
 SKETCH_COLUMNS = 16
+WIDE_COLUMNS = 32
 
 
 def _name(column: str, p: float) -> str:
@@ -46,7 +47,7 @@ def station_quantiles(
         if exact:
             parts.append(
                 df.groupBy(station).agg(
-                    *[F.percentile(c, F.lit(float(p))).alias(_name(c, p)) for c in some for p in probs]
+                    *[F.expr(f"percentile(`{c}`, {float(p)}D) AS `{_name(c, p)}`") for c in some for p in probs]
                 )
             )
         else:
@@ -200,17 +201,34 @@ def nan_to_num(df, columns: Sequence[str]) -> DataFrame:
 # ---- scaling ------------------------------------------------------------------------------------------------------
 
 
+def _per_column(df, columns: Sequence[str], center: str, scale: str, station: str) -> DataFrame:
+    """Two aggregates per column as ``{c}__center`` and ``{c}__scale``.
+
+    Hundreds of aggregate buffers in one row defeat code generation, so a wide frame is turned into (station, position,
+    value) rows that combine on the map side; the result is one array per station again.
+    """
+    if len(columns) <= WIDE_COLUMNS:
+        return df.groupBy(station).agg(
+            *[F.expr(f"{center.format(f'`{c}`')} AS `{c}__center`") for c in columns],
+            *[F.expr(f"{scale.format(f'`{c}`')} AS `{c}__scale`") for c in columns],
+        )
+    values = ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in columns)
+    long = df.selectExpr(station, f"posexplode(array({values})) AS (_i, _v)")
+    each = long.groupBy(station, "_i").agg(F.expr(f"{center.format('_v')} AS c"), F.expr(f"{scale.format('_v')} AS s"))
+    packed = each.groupBy(station).agg(F.array_sort(F.collect_list(F.struct("_i", "c", "s"))).alias("a"))
+    return packed.selectExpr(
+        station,
+        *[f"a[{i}].c AS `{c}__center`" for i, c in enumerate(columns)],
+        *[f"a[{i}].s AS `{c}__scale`" for i, c in enumerate(columns)],
+    )
+
+
 def fit_scaler(df, kind: str, columns: Sequence[str], *, station=STATION, shape: Shape | None = None) -> DataFrame:
     """One row per station with ``{c}__center`` and ``{c}__scale``; a zero scale counts as 1."""
     if kind == "standard":
-        raw = df.groupBy(station).agg(
-            *[F.avg(c).alias(f"{c}__center") for c in columns], *[F.stddev_pop(c).alias(f"{c}__scale") for c in columns]
-        )
+        raw = _per_column(df, columns, "avg({0})", "stddev_pop({0})", station)
     elif kind == "minmax":
-        raw = df.groupBy(station).agg(
-            *[F.min(c).alias(f"{c}__center") for c in columns],
-            *[(F.max(c) - F.min(c)).alias(f"{c}__scale") for c in columns],
-        )
+        raw = _per_column(df, columns, "min({0})", "max({0}) - min({0})", station)
     elif kind == "robust":
         q = station_quantiles(df, columns, [0.25, 0.5, 0.75], station=station, shape=shape)
         raw = q.select(
@@ -221,9 +239,11 @@ def fit_scaler(df, kind: str, columns: Sequence[str], *, station=STATION, shape:
     else:
         raise ValueError(f"unknown scaler: {kind}")
     # A constant column may keep a rounding residue; it counts as zero.
-    tiny = lambda c: F.col(f"{c}__scale") <= 1e-12 * F.greatest(F.abs(F.col(f"{c}__center")), F.lit(1.0))
-    one = {f"{c}__scale": F.when(tiny(c), F.lit(1.0)).otherwise(F.col(f"{c}__scale")) for c in columns}
-    return raw.withColumns(one)
+    one = (
+        f"CASE WHEN `{c}__scale` <= 1e-12D * greatest(abs(`{c}__center`), 1.0D) THEN 1.0D ELSE `{c}__scale` END AS `{c}__scale`"
+        for c in columns
+    )
+    return raw.selectExpr(station, *[f"`{c}__center`" for c in columns], *one)
 
 
 def apply_scaler(df, params: DataFrame, columns: Sequence[str], *, station=STATION, fits=False, inverse=False) -> DataFrame:
