@@ -91,8 +91,9 @@ def ms_to_kmh(x: Column) -> Column:
 
 
 def parse_ts(text: Column) -> Column:
-    """ISO text, with or without Z, to timestamp; null when unreadable."""
-    return F.try_to_timestamp(text)
+    """ISO text, with or without seconds and zone, to timestamp; null when unreadable."""
+    with_seconds = F.regexp_replace(text, r"(\d{1,2}:\d{2})(Z|[+-]\d{2}:?\d{2})$", "$1:00$2")
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(with_seconds))
 
 
 def epoch_ts(seconds: Column) -> Column:

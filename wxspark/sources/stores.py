@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wxspark.operators.quality import bbox_filter
 from wxspark.schema import BASE
@@ -19,6 +20,11 @@ CACHE_TTL, FORECAST_TTL = 900, 3600
 RETENTION_DAYS = 30
 
 
+def _ordered(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that can be compared; they settle ties in a fixed way."""
+    return [c for c in columns if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))]
+
+
 def _seconds(c: Column) -> Column:
     return F.unix_timestamp(c.cast("timestamp"))
 
@@ -141,8 +147,8 @@ def registry_deactivate(log: DataFrame, lat: float, lon: float, at, *, model_typ
 def registry_best(models: DataFrame, *, keys: Sequence[str] = ("model_type",)) -> DataFrame:
     """Lowest error per type; a model without an error comes last."""
     rest = [c for c in models.columns if c not in keys]
-    rank = F.struct(F.col("mae").isNull().alias("_none"), F.col("mae").alias("_mae"), *rest)
-    return models.groupBy(*keys).agg(F.min(rank).alias("b")).select(*keys, *[f"b.{c}" for c in rest])
+    rank = F.struct(F.col("mae").isNull().alias("_none"), F.col("mae").alias("_mae"), *_ordered(models, rest))
+    return models.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("b")).select(*keys, *[f"b.{c}" for c in rest])
 
 
 def model_cleanup(log: DataFrame, now, *, days: int = RETENTION_DAYS) -> DataFrame:
@@ -206,7 +212,7 @@ def forecast_store(stored: DataFrame | None, new: DataFrame, *, ttl: int = FOREC
     )
     both = tagged if stored is None else stored.unionByName(tagged, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys]
-    newest = F.max(F.struct(F.col("created_at").alias("_at"), *rest))
+    newest = F.max_by(F.struct(*rest), F.struct(F.col("created_at").alias("_at"), *_ordered(both, rest)))
     return both.groupBy(*keys).agg(newest.alias("e")).select(*keys, *[f"e.{c}" for c in rest])
 
 
