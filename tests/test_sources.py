@@ -52,13 +52,13 @@ def test_geocoding(spark, tmp_path):
     d.mkdir()
     (d / "delhi.json").write_text(json.dumps({"results": [{"name": "Delhi", "latitude": 28.6, "longitude": 77.2, "admin1": "DL"}, {"name": "New Delhi", "latitude": 28.7, "longitude": 77.1, "country": "India"}]}))
     (d / "nowhere.json").write_text("{}")
-    rows = P.geocode_openmeteo(spark, str(d)).orderBy("rank").collect()
+    rows = P.geocode_openmeteo((spark, str(d))).orderBy("rank").collect()
     assert [(r["query"], r["rank"], r["name"], r["country"]) for r in rows] == [("delhi", 1, "Delhi", "Unknown"), ("delhi", 2, "New Delhi", "India")]
     for read, field, name in ((P.geocode_weatherapi, "region", "w"), (P.geocode_owm, "state", "o")):
         e = tmp_path / name
         e.mkdir()
         (e / "x y.json").write_text(json.dumps([{"name": "A", "lat": 1.0, "lon": 2.0, "country": "C", field: "R"}, {"name": "B", "lat": 1.0, "lon": 2.0, "country": "C"}]))
-        rows = read(spark, str(e), limit=1).collect()
+        rows = read((spark, str(e)), limit=1).collect()
         assert len(rows) == 1 and rows[0]["region"] == "R" and rows[0]["query"] == "x y"
 
 

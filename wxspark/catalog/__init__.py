@@ -4,7 +4,7 @@ import importlib
 
 from wxspark.catalog.base import ORACLES, QUERIES
 
-for _module in ("features", "cleaning", "series", "models", "places", "plans"):
+for _module in ("features", "cleaning", "series", "models", "places", "plans", "tables"):
     importlib.import_module(f"wxspark.catalog.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

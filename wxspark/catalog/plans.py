@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from wxspark.catalog import features as S
 from wxspark.catalog.base import query
-from wxspark.catalog.models import RULES
+from wxspark.catalog.models import PRED, RULES
 from wxspark.catalog.places import HEALTH, provider_log
 from wxspark.catalog.series import AR1_FIT, LAST
 from wxspark.operators import features, forest, fuzzy, timeline
 from wxspark.plans import forecast, pipeline
 from wxspark.schema import BASE, TARGETS
 from wxspark.session import scratch, stored
-from wxspark.sources.panel import forecast_log, panel, panel_table
+from wxspark.sources.panel import forecast_log, located, panel, panel_table
 from wxspark.streaming import jobs
 
 # ---- feature pipeline ---------------------------------------------------------------------------------------------
@@ -186,9 +186,14 @@ def fc_forecast_all(spark, path):
     return forecast.fc_forecast(panel_table(spark, path), 24)
 
 
-@query("fc_train", keys="station model_type target is_trained", ints="n", nums="mae rmse")
+@query(
+    "fc_train",
+    "SELECT station, 'fuzzy' AS model_type, 'temperature' AS target, count(*) > 0 AS is_trained, count(*) AS n, avg(abs(prediction-actual)) AS mae, sqrt(avg(pow(prediction-actual,2))) AS rmse FROM fitted GROUP BY station HAVING count(*) >= 99"
+    " UNION ALL SELECT station, 'arima', 'temperature', count(*) > 0, count(*), avg(abs(a+b*x-y)), sqrt(avg(pow(a+b*x-y,2))) FROM ar JOIN fit USING (station) WHERE x IS NOT NULL GROUP BY station HAVING count(*) >= 99",
+    keys="station model_type target is_trained", ints="n", nums="mae rmse", ctes=PRED.replace("FROM gaps", "FROM panel") + ", " + AR1_FIT,
+)
 def fc_train(spark, path):
-    return forecast.fc_train(panel_table(spark, path), targets=["temperature", "pressure"])
+    return forecast.fc_train(located(panel_table(spark, path)), targets=["temperature"])
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------

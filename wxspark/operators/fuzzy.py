@@ -105,12 +105,16 @@ def win_antecedent(df, cfg: FuzzyConfig = FuzzyConfig(), *, shape: Shape | None
 
 
 def prepare(df, cfg: FuzzyConfig = FuzzyConfig(), *, interpolate: bool = True, shape: Shape | None = None):
-    """(universe, labelled series with antecedents) of the target series after filling its gaps."""
+    """(universe, labelled series with antecedents) of the target series after filling its gaps.
+
+    Interpolated values never leave the range of the known ones, so the universe comes from the raw series; filling and
+    antecedents then share one shuffle.
+    """
     shape = shape or measure(df, cfg.station)
     base = df.select(cfg.station, cfg.ts, cfg.target)
+    universe = fz_universe(base, cfg)
     if interpolate:
         base = win_interpolate(base, station=cfg.station, ts=cfg.ts, columns=[cfg.target], shape=shape)
-    universe = fz_universe(base, cfg)
     labelled = win_antecedent(fz_fuzzify(base, universe, cfg, shape=shape), cfg, shape=shape)
     return universe, labelled
 

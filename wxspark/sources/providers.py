@@ -118,46 +118,42 @@ def read_owm_current(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---- geocoding: query, rank, name, lat, lon, country, region -------------------------------------------------------
-# Each file answers one query; its base name (without extension) is the query text.
 
+_NAMED = "name string, {lat} double, {lon} double, country string, {region} string"
 
-def _query_text() -> Column:
+
+def _file_query() -> Column:
     base = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return F.url_decode(F.regexp_replace(base, r"\.[^.]*$", ""))
 
 
-def _places(spark: SparkSession, path: str, schema: str, items: str | None, fields: dict[str, Column], limit: int | None) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).select(_query_text().alias("query"), "value")
-    parsed = text.select("query", F.from_json("value", schema).alias("p"))
-    rows = parsed.select("query", F.posexplode(F.col(f"p.{items}") if items else F.col("p")).alias("rank", "r"))
-    if limit is not None:
-        rows = rows.filter(F.col("rank") < limit)
-    return rows.select("query", (F.col("rank") + 1).alias("rank"), *[c.alias(n) for n, c in fields.items()])
-
-
-def geocode_openmeteo(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
-    return _places(
-        spark, path, "results array<struct<name: string, latitude: double, longitude: double, country: string, admin1: string>>",
-        "results",
-        {
-            "name": F.col("r.name"), "lat": F.col("r.latitude"), "lon": F.col("r.longitude"),
-            "country": F.coalesce("r.country", F.lit("Unknown")), "region": F.col("r.admin1"),
-        },
-        limit,
-    )
-
-
-def _top_level(region: str):
-    def read(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
-        fields = {c: F.col(f"r.{c}") for c in ("name", "lat", "lon", "country")}
-        fields["region"] = F.col(f"r.{region}")
-        return _places(
-            spark, path, f"array<struct<name: string, lat: double, lon: double, country: string, {region}: string>>", None,
-            fields, limit,
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """One answer per file as (query, value); the base name of the file is the query text."""
+    return spark.read.text(path, wholetext=True).select(_file_query().alias("query"), "value")
+
+
+def _reader(items: str | None, lat: str, lon: str, region: str, country_default: str | None):
+    item = "struct<" + _NAMED.format(lat=lat, lon=lon, region=region).replace(" ", ":").replace(",:", ",") + ">"
+    schema = f"{items} array<{item}>" if items else f"array<{item}>"
+
+    def read(source: DataFrame | tuple[SparkSession, str], *, limit: int | None = None) -> DataFrame:
+        """``source``: a frame (query, value) of answer texts, or (session, path) for one file per answer."""
+        text = source if isinstance(source, DataFrame) else answers(*source)
+        parsed = text.select("query", F.from_json("value", schema).alias("p"))
+        found = F.col(f"p.{items}") if items else F.col("p")
+        if limit is not None:
+            found = F.slice(found, 1, limit)
+        rows = parsed.select("query", F.posexplode(found).alias("rank", "r"))
+        country = F.col("r.country")
+        return rows.select(
+            "query", (F.col("rank") + 1).alias("rank"), "r.name", F.col(f"r.{lat}").alias("lat"), F.col(f"r.{lon}").alias("lon"),
+            (F.coalesce(country, F.lit(country_default)) if country_default else country).alias("country"),
+            F.col(f"r.{region}").alias("region"),
         )
 
     return read
 
 
-geocode_weatherapi = _top_level("region")
-geocode_owm = _top_level("state")
+geocode_openmeteo = _reader("results", "latitude", "longitude", "admin1", "Unknown")
+geocode_weatherapi = _reader(None, "lat", "lon", "region", None)
+geocode_owm = _reader(None, "lat", "lon", "state", None)
