@@ -27,7 +27,7 @@ CASES = {
     "folds": lambda df, s: split.win_cv_folds(df.select("station", "ts"), shape=s),
     "sequences": lambda df, s: split.win_sequences(df, length=40, features=["pressure"], targets=["pressure"], shape=s),
     "last window": lambda df, s: split.win_sequences_predict(df, length=40, features=["pressure"], last_only=True, shape=s),
-    "history": lambda df, s: split.win_history_bound(df.select("station", "ts"), keep=30, shape=s),
+    "history": lambda df, s: split.win_history_bound(df.select("station", "ts"), keep=30),
     "labels": lambda df, s: fuzzy.prepare(df, FuzzyConfig(order=2), shape=s)[1],
     "trend": lambda df, s: series.win_seasonal_trend(df.select("station", "ts", "humidity"), "humidity", 24, shape=s),
     "decompose": lambda df, s: series.ts_decompose(df, "humidity", 24, shape=s),

@@ -206,8 +206,8 @@ def sca_inverse(spark, path):
     obs = panel_table(spark, path)
     shape = timeline.measure(obs)
     params = clean.fit_scaler(obs, "standard", TARGETS, shape=shape)
-    scaled = clean.apply_scaler(obs, params, TARGETS, fits=shape.few)
-    return clean.apply_scaler(scaled, params, TARGETS, fits=shape.few, inverse=True)
+    scaled = clean.apply_scaler(obs, params, TARGETS, rows=shape.series)
+    return clean.apply_scaler(scaled, params, TARGETS, rows=shape.series, inverse=True)
 
 
 INTERP = """

@@ -63,8 +63,7 @@ def sc_membership(spark, path):
     shape = timeline.measure(obs)
     filled = win_interpolate(obs, shape=shape)
     sets = Z.fz_sets(Z.fz_universe(filled))
-    few = shape.series * len(TERMS) <= timeline.MAX_SMALL_ROWS
-    j = timeline.join_small(filled, sets, ["station"], few)
+    j = timeline.join_small(filled, sets, ["station"], shape.series * len(TERMS))
     return j.withColumn("membership", Z.membership(F.col("temperature"), F.col("center"), F.col("width")))
 
 

@@ -69,7 +69,7 @@ def _bracketed(df, columns, probs, station, accuracy, shape) -> DataFrame:
             for p in probs
         ]
     )
-    marked = join_small(df.select(station, *columns), sketch, [station], shape.few)
+    marked = join_small(df.select(station, *columns), sketch, [station], shape.series)
     edge_aggs, picks = [], []
     for c in columns:
         for p in probs:
@@ -138,7 +138,7 @@ def cl_impute_median(
     shape = shape or measure(df, station)
     params = fit_medians(df, columns, station=station, shape=shape) if params is None else params
     names = {c: _name(c, 0.5) for c in columns}
-    out = join_small(df, params.select(station, *names.values()), [station], shape.few)
+    out = join_small(df, params.select(station, *names.values()), [station], shape.series)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(n)) for c, n in names.items()}).drop(*names.values())
 
 
@@ -158,7 +158,7 @@ def cl_outlier_iqr(
     """Clip to [Q1 - threshold*IQR, Q3 + threshold*IQR]."""
     shape = shape or measure(df, station)
     params = clip_bounds(df, columns, station=station, threshold=threshold, shape=shape) if params is None else params
-    out = join_small(df, params, [station], shape.few)
+    out = join_small(df, params, [station], shape.series)
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"{c}__hi")), F.col(f"{c}__lo")))
         for c in columns
@@ -175,7 +175,7 @@ def cl_outlier_zscore(
         *[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_samp(c).alias(f"{c}__s") for c in columns]
     )
     medians = fit_medians(df, columns, station=station, shape=shape)
-    out = join_small(df, moments.join(medians, station), [station], shape.few)
+    out = join_small(df, moments.join(medians, station), [station], shape.series)
     fixed = {
         c: F.when(
             F.try_divide(F.abs(F.col(c) - F.col(f"{c}__m")), F.col(f"{c}__s")) > threshold, F.col(_name(c, 0.5))
@@ -246,14 +246,14 @@ def fit_scaler(df, kind: str, columns: Sequence[str], *, station=STATION, shape:
     return raw.selectExpr(station, *[f"`{c}__center`" for c in columns], *one)
 
 
-def apply_scaler(df, params: DataFrame, columns: Sequence[str], *, station=STATION, fits=False, inverse=False) -> DataFrame:
+def apply_scaler(df, params: DataFrame, columns: Sequence[str], *, station=STATION, rows: int | None = None, inverse=False) -> DataFrame:
     """Scale with fitted parameters; ``inverse`` brings forecasts back to physical units."""
 
     def scaled(c: str) -> Column:
         x, m, s = F.col(c), F.col(f"{c}__center"), F.col(f"{c}__scale")
         return x * s + m if inverse else (x - m) / s
 
-    out = join_small(df, params, [station], fits)
+    out = join_small(df, params, [station], rows)
     return out.withColumns({c: scaled(c) for c in columns}).drop(*[f"{c}__{e}" for c in columns for e in ("center", "scale")])
 
 
@@ -261,7 +261,7 @@ def _fit_apply(kind: str):
     def op(df, *, station=STATION, ts=TS, columns: Sequence[str] = tuple(TARGETS), params=None, shape=None) -> DataFrame:
         shape = shape or measure(df, station)
         params = fit_scaler(df, kind, columns, station=station, shape=shape) if params is None else params
-        return apply_scaler(df, params, columns, station=station, fits=shape.few)
+        return apply_scaler(df, params, columns, station=station, rows=shape.series)
 
     op.__name__ = f"sca_{kind}"
     return op

@@ -8,9 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wxspark.operators import split
 from wxspark.operators.metrics import agg_metrics_detailed
-from wxspark.operators.timeline import MAX_SMALL_ROWS, Shape, join_small
+from wxspark.operators.timeline import count_small, join_small, newest
 from wxspark.schema import STATION, TS
 
 Z95 = 1.96
@@ -55,20 +54,20 @@ def en_performance(models: DataFrame, cfg: EnsembleConfig = EnsembleConfig(), *,
     return out.select(*keys, "model", "weight")
 
 
-def recent_errors(log: DataFrame, cfg: EnsembleConfig, *, station=STATION, ts=TS, shape: Shape | None = None) -> DataFrame:
+def recent_errors(log: DataFrame, cfg: EnsembleConfig, *, station=STATION, ts=TS) -> DataFrame:
     """Mean absolute error of the last records of each station and model: station, model, avg_error, records."""
     scored = log.filter(F.col("prediction").isNotNull() & F.col("actual").isNotNull())
-    last = split.win_history_bound(scored, keys=[station, "model"], ts=ts, keep=cfg.window, shape=shape)
+    last = newest(scored, cfg.window, keys=[station, "model"], ts=ts)
     return last.groupBy(station, "model").agg(
         F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("avg_error"), F.count(F.lit(1)).alias("records")
     )
 
 
 def en_adaptive(
-    models: DataFrame, log: DataFrame, cfg: EnsembleConfig = EnsembleConfig(), *, station=STATION, ts=TS, shape: Shape | None = None
+    models: DataFrame, log: DataFrame, cfg: EnsembleConfig = EnsembleConfig(), *, station=STATION, ts=TS
 ) -> DataFrame:
     """Inverse recent error; stations with a short history use the training metrics instead."""
-    err = recent_errors(log, cfg, station=station, ts=ts, shape=shape)
+    err = recent_errors(log, cfg, station=station, ts=ts)
     j = models.join(err, [station, "model"], "left")
     w = Window.partitionBy(station)
     enough = F.coalesce(F.max("records").over(w), F.lit(0)) >= cfg.least_history
@@ -88,8 +87,7 @@ def en_update(models, log=None, cfg: EnsembleConfig = EnsembleConfig(), **opts)
 
 
 def _weighted(predictions: DataFrame, weights: DataFrame, station: str) -> DataFrame:
-    fits = weights.limit(MAX_SMALL_ROWS + 1).count() <= MAX_SMALL_ROWS
-    return join_small(predictions, weights, [station, "model"], fits, "inner")
+    return join_small(predictions, weights, [station, "model"], count_small(weights), "inner")
 
 
 def en_combine(predictions: DataFrame, weights: DataFrame, *, station=STATION, by: Sequence[str] = (STATION, TS, "target")) -> DataFrame:

@@ -103,7 +103,7 @@ def mdl_forest_tune(
     series for the search only."""
     grid = GRID if grid is None else grid
     if newest is not None:
-        train = split.win_history_bound(train, keys=[station], ts=ts, keep=newest, shape=shape)
+        train = split.win_history_bound(train, keys=[station], ts=ts, keep=newest)
     folds = split.win_cv_folds(train, station=station, ts=ts, n_splits=n_splits, shape=shape).persist()
     rows = []
     try:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wxspark.operators import timeline
 from wxspark.operators.clean import win_interpolate
 from wxspark.operators.metrics import agg_metrics
-from wxspark.operators.timeline import MAX_SMALL_ROWS, Shape, join_small, measure
+from wxspark.operators.timeline import Shape, join_small, measure
 from wxspark.schema import STATION, TS
 
 # Names of the sets, lowest first.
@@ -78,7 +78,7 @@ def fz_fuzzify(df, universe: DataFrame, cfg: FuzzyConfig = FuzzyConfig(), *, sha
     shape = shape or measure(df, cfg.station)
     x = F.col(cfg.target)
     names = F.array(*[F.lit(t) for t in cfg.terms])
-    u = join_small(df, universe, [cfg.station], shape.few)
+    u = join_small(df, universe, [cfg.station], shape.series)
     out = u.withColumn("set_no", F.when(x.isNotNull(), best_set(x, cfg)))
     return out.withColumn("label", F.when(F.col("set_no").isNotNull(), F.get(names, F.col("set_no")))).drop("u_min", "u_max")
 
@@ -171,18 +171,16 @@ def _with_prediction(
     out = _rule_outputs(rules, universe, cfg)
     last = F.element_at(F.split("antecedent", ","), -1)
     numbers = F.create_map(*[F.lit(v) for i, t in enumerate(cfg.terms) for v in (t, i)])
-    small = shape.series * cfg.sets**cfg.order <= MAX_SMALL_ROWS
-    joined = join_small(states, out, [cfg.station, "antecedent"], small)
-    joined = join_small(joined, universe, [cfg.station], small)
+    joined = join_small(states, out, [cfg.station, "antecedent"], shape.series * cfg.sets**cfg.order)
+    joined = join_small(joined, universe, [cfg.station], shape.series)
     center = _center(F.try_element_at(numbers, last), cfg)
     middle = (F.col("u_min") + F.col("u_max")) / 2
     return joined.withColumn("prediction", F.coalesce("rule_value", center, middle))
 
 
-def last_state(labelled: DataFrame, cfg: FuzzyConfig = FuzzyConfig(), *, shape: Shape | None = None) -> DataFrame:
+def last_state(labelled: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """The antecedent that leads to the next, unseen row: the last ``order`` labels of each station."""
-    recent = timeline.with_position(labelled.select(cfg.station, cfg.ts, "label"), station=cfg.station, ts=cfg.ts, shape=shape)
-    recent = recent.filter(F.col(timeline.POS) >= F.col(timeline.COUNT) - cfg.order)
+    recent = timeline.newest(labelled.select(cfg.station, cfg.ts, "label"), cfg.order, keys=[cfg.station], ts=cfg.ts)
     labels = F.transform(F.array_sort(F.collect_list(F.struct(cfg.ts, "label"))), lambda s: s["label"])
     return recent.groupBy(cfg.station).agg(F.max(cfg.ts).alias(cfg.ts), F.concat_ws(",", labels).alias("antecedent"))
 
@@ -197,7 +195,7 @@ def fz_interval(df, cfg: FuzzyConfig = FuzzyConfig(), *, shape: Shape | None = N
     shape = shape or measure(df, cfg.station)
     universe, labelled = prepare(df, cfg, shape=shape)
     rules = agg_rule_counts(labelled, cfg)
-    states = _with_prediction(last_state(labelled, cfg, shape=shape), rules, universe, cfg, shape)
+    states = _with_prediction(last_state(labelled, cfg), rules, universe, cfg, shape)
     span = F.col("u_max") - F.col("u_min")
     spread = (
         F.when(F.col("outcomes").isNull(), span * 0.2)

@@ -54,7 +54,7 @@ def int_bounds_fit(
 def int_bounds(points, bounds, *, by: str = STATION, pred="prediction", shape: Shape | None = None) -> DataFrame:
     """lower <= prediction <= upper, from the residual quantiles of the series."""
     shape = shape or measure(points, by)
-    j = join_small(points, bounds, [by], shape.few)
+    j = join_small(points, bounds, [by], shape.series)
     p = F.col(pred)
     return j.withColumns(
         {"lower": F.least(p, p + F.col("res_lo")), "upper": F.greatest(p, p + F.col("res_hi"))}

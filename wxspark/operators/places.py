@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wxspark.functions.geo import CITIES, CITY_COUNTRY, EARTH_KM, haversine
 from wxspark.functions.labels import location_name
-from wxspark.operators.timeline import MAX_SMALL_ROWS, join_small
+from wxspark.operators.timeline import count_small, join_small
 from wxspark.schema import TS
 
 _DEGREE_KM = EARTH_KM * math.pi / 180
@@ -103,8 +103,7 @@ def join_nearest_city(
         .select("_gy", "_gx", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "name", "rank")
     )
     placed = points.withColumns({"_gy": F.floor("lat"), "_gx": wrap(F.floor("lon"))})
-    fits = cities.limit(MAX_SMALL_ROWS + 1).count() <= MAX_SMALL_ROWS
-    pairs = join_small(placed, reachable, ["_gy", "_gx"], fits, "left")
+    pairs = join_small(placed, reachable, ["_gy", "_gx"], count_small(reachable), "left")
     km = haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     choice = F.when(km < max_km, F.struct(km.alias("distance_km"), "rank", "name"))
     best = pairs.groupBy("id", "lat", "lon").agg(F.min(choice).alias("b"))
@@ -245,8 +244,7 @@ def provider_fallback(
 ) -> DataFrame:
     """One observation per key: the first healthy provider by priority, any provider when all are down."""
     state = health.select("provider", "is_healthy")
-    fits = state.limit(MAX_SMALL_ROWS + 1).count() <= MAX_SMALL_ROWS
-    o = join_small(observations, state, ["provider"], fits)
+    o = join_small(observations, state, ["provider"], count_small(state))
     rest = [c for c in observations.columns if c not in (*keys, "priority")]
     up = F.coalesce("is_healthy", F.lit(True))
     best = F.min(F.struct((~up).alias("_down"), "priority", *rest))

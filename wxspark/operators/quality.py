@@ -89,7 +89,7 @@ def min_rows_gate(df, *, stage: str = "prepare", station: str = STATION, ts: str
     """Keep the series with enough rows for a stage. Counts travel in a small table, not in a window."""
     shape = shape or timeline.measure(df, station)
     enough = df.groupBy(station).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= MIN_ROWS[stage]).drop("_c")
-    return timeline.join_small(df, enough, [station], shape.few, "left_semi")
+    return timeline.join_small(df, enough, [station], shape.series, "left_semi")
 
 
 def agg_quality(df, *, station: str = STATION, ts: str = TS, strict: bool = False) -> DataFrame:

@@ -169,10 +169,9 @@ def mdl_ar(df, target: str, cfg: ARConfig = ARConfig(), *, shape: Shape | None =
     return m.mapInPandas(solve, AR_PARAMS)
 
 
-def recent_levels(df, target: str, depth: int, *, station=STATION, ts=TS, shape: Shape | None = None) -> DataFrame:
+def recent_levels(df, target: str, depth: int, *, station=STATION, ts=TS) -> DataFrame:
     """station, last_ts, levels: the newest ``depth`` values, newest first."""
-    p = timeline.with_position(df.select(station, ts, target).dropna(subset=[target]), station=station, ts=ts, shape=shape)
-    recent = p.filter(F.col(POS) >= F.col(COUNT) - depth)
+    recent = timeline.newest(df.select(station, ts, target).dropna(subset=[target]), depth, keys=[station], ts=ts)
     rows = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(target).alias("v"))), asc=False)
     return recent.groupBy(F.col(station).alias("station")).agg(
         F.max(ts).alias("last_ts"), F.transform(rows, lambda r: r["v"]).alias("levels")
@@ -184,20 +183,18 @@ def _step(levels: Column) -> Column:
     return F.aggregate(terms, F.col("const"), lambda acc, t: acc + t)
 
 
-def mdl_ar_predict(df, params: DataFrame, target: str, cfg: ARConfig = ARConfig(), *, shape: Shape | None = None) -> DataFrame:
+def mdl_ar_predict(df, params: DataFrame, target: str, cfg: ARConfig = ARConfig()) -> DataFrame:
     """One step ahead; 0.0 for a station without a model."""
-    levels = recent_levels(df, target, max(cfg.reach, 1), station=cfg.station, ts=cfg.ts, shape=shape)
+    levels = recent_levels(df, target, max(cfg.reach, 1), station=cfg.station, ts=cfg.ts)
     joined = levels.join(params.filter(F.col("target") == target).drop("target"), "station", "left")
     point = _step(F.slice("levels", F.lit(1), F.lit(max(cfg.reach, 1))))
     return joined.select("station", F.lit(target).alias("target"), "last_ts", F.coalesce(point, F.lit(0.0)).alias("prediction"))
 
 
-def mdl_multi_step(
-    df, params: DataFrame, target: str, steps: int, cfg: ARConfig = ARConfig(), *, shape: Shape | None = None
-) -> DataFrame:
+def mdl_multi_step(df, params: DataFrame, target: str, steps: int, cfg: ARConfig = ARConfig()) -> DataFrame:
     """Recursive forecast: each prediction becomes the newest level of the next step. One native fold per station."""
     depth = max(cfg.reach, 1)
-    levels = recent_levels(df, target, depth, station=cfg.station, ts=cfg.ts, shape=shape)
+    levels = recent_levels(df, target, depth, station=cfg.station, ts=cfg.ts)
     joined = levels.join(params.filter(F.col("target") == target).drop("target"), "station")
     start = F.struct(F.col("levels").alias("lv"), F.array().cast("array<double>").alias("out"))
 
@@ -213,10 +210,10 @@ def mdl_multi_step(
 
 
 def mdl_ar_interval(
-    df, params: DataFrame, target: str, cfg: ARConfig = ARConfig(), *, steps: int = 1, shape: Shape | None = None
+    df, params: DataFrame, target: str, cfg: ARConfig = ARConfig(), *, steps: int = 1
 ) -> DataFrame:
     """95 percent interval: point +- 1.96 * sigma * sqrt(sum of squared impulse responses)."""
-    points = mdl_multi_step(df, params, target, steps, cfg, shape=shape)
+    points = mdl_multi_step(df, params, target, steps, cfg)
     depth = max(cfg.reach, 1)
     zero = F.array(*[F.lit(0.0)] * depth)
     # Impulse responses follow the same recursion, started by a unit shock and without the constant.
@@ -249,7 +246,7 @@ def ar_fitted(df, params: DataFrame, target: str, cfg: ARConfig = ARConfig(), *,
         back=depth, station=cfg.station, ts=cfg.ts, shape=shape,
     )
     own = params.filter(F.col("target") == target).select(F.col("station").alias(cfg.station), "const", "level_coef")
-    fit = join_small(wide, own, [cfg.station], shape.few, "inner")
+    fit = join_small(wide, own, [cfg.station], shape.series, "inner", per_row=depth + 3)
     return fit.select(
         cfg.station, cfg.ts, F.lit(target).alias("target"), F.col(target).alias("actual"), _step(F.col("_lv")).alias("prediction")
     )
@@ -386,7 +383,7 @@ def _adf_moments(df, target, station, ts, shape, caps: DataFrame, lags: int) ->
         | {f"_d{k}": differenced(target, k, 1, w) for k in range(1, lags + 1)},
         back=lags + 1, station=station, ts=ts, shape=shape,
     )
-    j = join_small(wide, caps, [station], shape.few, "inner")
+    j = join_small(wide, caps, [station], shape.series, "inner")
     j = j.withColumns(
         {f"_d{k}": F.when(F.col("cap") < k, F.lit(0.0)).otherwise(F.col(f"_d{k}")) for k in range(1, lags + 1)}
     )
@@ -467,7 +464,7 @@ def ts_kpss(df, target: str, *, station=STATION, ts=TS, nlags: int | str = "auto
     shape = shape or measure(base, station)
     means = base.groupBy(station).agg(F.avg(target).alias("_m"), F.count(F.lit(1)).alias("rows"))
     means = means.filter(F.col("rows") >= MIN_TEST_ROWS)
-    centred = join_small(base, means, [station], shape.few, "inner").select(
+    centred = join_small(base, means, [station], shape.series, "inner").select(
         station, ts, (F.col(target) - F.col("_m")).alias("_r"), "rows"
     )
     if nlags == "auto":
@@ -556,7 +553,7 @@ def ts_decompose(
             slope = F.try_divide(F.covar_pop(x, y), F.nullif(F.var_pop(x), F.lit(0.0)))
             lines += [slope.alias(f"{side}_s"), (F.avg(y) - slope * F.avg(x)).alias(f"{side}_c")]
         ends = t.groupBy(station).agg(*lines)
-        t = join_small(t, ends, [station], shape.few)
+        t = join_small(t, ends, [station], shape.series)
         line = F.when(F.col(POS) < half, F.col("front_c") + F.col("front_s") * p).otherwise(
             F.col("back_c") + F.col("back_s") * p
         )
@@ -565,8 +562,7 @@ def ts_decompose(
     phases = t.groupBy(station, "_phase").agg(F.avg(F.col(target) - F.col("trend")).alias("_raw"))
     w = Window.partitionBy(station)
     phases = phases.select(station, "_phase", (F.col("_raw") - F.avg("_raw").over(w)).alias("seasonal"))
-    small = shape.series * period <= timeline.MAX_SMALL_ROWS
-    out = join_small(t, phases, [station, "_phase"], small)
+    out = join_small(t, phases, [station, "_phase"], shape.series * period)
     return out.withColumn("resid", F.col(target) - F.col("trend") - F.col("seasonal")).drop("_phase", POS, COUNT)
 
 
@@ -602,7 +598,7 @@ def ts_diagnostics(residuals: DataFrame, *, value: str = "residual", lags: int =
     stats = base.groupBy(station).agg(
         F.avg(value).alias("residual_mean"), F.stddev_pop(value).alias("residual_std"), F.count(F.lit(1)).alias("n")
     )
-    centred = join_small(base, stats, [station], shape.few).withColumn("_r", F.col(value) - F.col("residual_mean"))
+    centred = join_small(base, stats, [station], shape.series).withColumn("_r", F.col(value) - F.col("residual_mean"))
     prods = _lag_products(centred.select(station, ts, "_r"), "_r", lags, station, ts, shape)
     n = F.col("n").cast("double")
     terms = F.transform(

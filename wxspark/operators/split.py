@@ -83,8 +83,7 @@ def win_sequences_predict(
     """Every full run of ``length`` rows; ``last_only`` keeps the newest one of each series."""
     shape = shape or timeline.measure(df, station)
     if last_only:
-        p = timeline.with_position(df, station=station, ts=ts, shape=shape)
-        df = p.filter(F.col(POS) >= F.col(COUNT) - length).drop(POS, COUNT)
+        df = timeline.newest(df, length, keys=[station], ts=ts)
         shape = timeline.Shape(shape.series, length)
 
     def cols(w):
@@ -95,14 +94,9 @@ def win_sequences_predict(
     return wide.filter(F.size("window") == length).select(station, ts, "window")
 
 
-def win_history_bound(
-    df, *, keys: Sequence[str] = (STATION,), ts=TS, keep: int = 100, shape: Shape | None = None
-) -> DataFrame:
+def win_history_bound(df, *, keys: Sequence[str] = (STATION,), ts=TS, keep: int = 100) -> DataFrame:
     """The last ``keep`` rows of every key."""
-    key = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
-    tagged = df.withColumn("_key", key)
-    p = timeline.with_position(tagged, station="_key", ts=ts, shape=shape)
-    return p.filter(F.col(POS) >= F.col(COUNT) - keep).drop("_key", POS, COUNT)
+    return timeline.newest(df, keep, keys=keys, ts=ts)
 
 
 def latest_row(df, *, station=STATION, ts=TS) -> DataFrame:

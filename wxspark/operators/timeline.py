@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAX_SERIES_ROWS = 1_000_000
-MAX_SMALL_ROWS = 100_000
+MAX_SMALL_CELLS = 2_000_000
 BLOCK_ROWS = 100_000
 CHUNK_DAYS = 32
 
@@ -42,10 +42,6 @@ class Shape:
     def whole(self) -> bool:
         return self.longest <= self.max_rows
 
-    @property
-    def few(self) -> bool:
-        return self.series <= MAX_SMALL_ROWS
-
 
 def measure(df: DataFrame, station: str | Sequence[str] = "station") -> Shape:
     """Count the series and the rows of the longest one; one scalar row reaches the driver."""
@@ -59,11 +55,29 @@ def measure(df: DataFrame, station: str | Sequence[str] = "station") -> Shape:
     return Shape(row["series"], row["longest"])
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], fits: bool, how: str = "left") -> DataFrame:
-    """Equi join with a broadcast only where the caller has checked the size; otherwise a shuffle join under AQE."""
+def join_small(
+    big: DataFrame, small: DataFrame, on: Sequence[str], rows: int | None, how: str = "left", *, per_row: int | None = None
+) -> DataFrame:
+    """Equi join that broadcasts ``small`` only under a size bound: ``rows`` is a checked upper bound of its rows (None
+    if unknown) and ``per_row`` the values in a row (default: its columns). Beyond it a shuffle join, which adaptive
+    execution may split by skew."""
+    fits = rows is not None and rows * (per_row or len(small.columns)) <= MAX_SMALL_CELLS
     return big.join(F.broadcast(small) if fits else small, list(on), how)
 
 
+def count_small(df: DataFrame, limit: int = MAX_SMALL_CELLS) -> int | None:
+    """Number of rows, or None above ``limit``; counting stops there."""
+    n = df.limit(limit + 1).count()
+    return n if n <= limit else None
+
+
+def newest(df: DataFrame, keep: int, *, keys: Sequence[str] = ("station",), ts: str = "ts") -> DataFrame:
+    """The last ``keep`` rows of every key. Each task first keeps only its own newest rows, so a long series sends
+    ``keep`` rows per task to the shuffle instead of all of them."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(ts))
+    return df.withColumn("_newest", F.row_number().over(w)).filter(F.col("_newest") <= keep).drop("_newest")
+
+
 def with_position(
     df: DataFrame, *, station: str = "station", ts: str = "ts", shape: Shape | None = None
 ) -> DataFrame:

@@ -29,7 +29,7 @@ def model_points(
             if m == "fuzzy":
                 part = fuzzy.fz_multi_step(obs, steps, FuzzyConfig(target=t), shape=shape)
             elif m == "arima":
-                part = series.mdl_multi_step(obs, series.mdl_ar(obs, t, ar, shape=shape), t, steps, ar, shape=shape).drop("target")
+                part = series.mdl_multi_step(obs, series.mdl_ar(obs, t, ar, shape=shape), t, steps, ar).drop("target")
             else:
                 part = E.FORECASTERS[m].predict(obs, E.FORECASTERS[m].fit(obs, t), t, steps)
             part = part.select("station", "last_ts", "step", F.lit(t).alias("target"), F.lit(m).alias("model"), "prediction")
@@ -79,7 +79,7 @@ def fc_train(
     shape = shape or measure(obs)
     enough = quality.min_rows_gate(obs, stage="train", shape=shape)
     good = quality.agg_quality(enough).filter("is_valid").select("station")
-    usable = timeline.join_small(enough, good, ["station"], shape.few, "left_semi")
+    usable = timeline.join_small(enough, good, ["station"], shape.series, "left_semi")
     scores = None
     for t in targets:
         fz = metrics.agg_metrics(fuzzy.fz_fitted(usable, FuzzyConfig(target=t), shape=shape))

@@ -48,7 +48,7 @@ def _cleaned_sql(c: str, params: set[str]) -> str:
 
 def _project(wide, params, keep, columns: dict[str, str], station, shape) -> DataFrame:
     """``columns`` (name -> SQL text) over rows joined with their station's parameters; key columns are kept."""
-    j = join_small(wide, params, [station], shape.few, "inner")
+    j = join_small(wide, params, [station], shape.series, "inner")
     return j.selectExpr(*[f"`{k}`" for k in keep], *[f"{sql} AS `{c}`" for c, sql in columns.items()])
 
 
@@ -83,7 +83,7 @@ def pipe_predict(obs: DataFrame, params: DataFrame, *, station=STATION, ts=TS, s
     return apply_pipeline(wide, params, station=station, ts=ts, shape=shape)
 
 
-def restore(points: DataFrame, params: DataFrame, columns: Sequence[str], *, station=STATION, fits: bool = False) -> DataFrame:
+def restore(points: DataFrame, params: DataFrame, columns: Sequence[str], *, station=STATION, rows: int | None = None) -> DataFrame:
     """Bring scaled forecasts back to physical units."""
     own = params.select(station, *[f"{c}__{e}" for c in columns for e in ("center", "scale")])
-    return clean.apply_scaler(points, own, columns, station=station, fits=fits, inverse=True)
+    return clean.apply_scaler(points, own, columns, station=station, rows=rows, inverse=True)

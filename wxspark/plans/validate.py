@@ -24,8 +24,7 @@ def cv_time_series(df, target: str, *, station=STATION, ts=TS, n_splits: int = 5
     m = series.moments(fold_fit.withColumnRenamed(target, "_y"), ["_y", "_x"], station="_k")
     slope = F.try_divide(F.col("cov")[1], F.nullif(F.col("cov")[2], F.lit(0.0)))
     fit = m.select(f"_k.{station}", "_k.fold", slope.alias("_b"), (F.col("means")[0] - slope * F.col("means")[1]).alias("_a"))
-    small = shape.series * n_splits <= timeline.MAX_SMALL_ROWS
-    scored = timeline.join_small(folds.filter("role = 'validation'"), fit, [station, "fold"], small, "inner")
+    scored = timeline.join_small(folds.filter("role = 'validation'"), fit, [station, "fold"], shape.series * n_splits, "inner")
     scored = scored.withColumn("prediction", F.col("_a") + F.col("_b") * F.col("_x"))
     per_fold = metrics.agg_metrics(scored, by=[station, "fold"], truth=target)
     return metrics.agg_cv_summary(per_fold, by=[station])

@@ -110,9 +110,7 @@ def update_errors(keep: int = 100):
     def update(batch: DataFrame, state: Tables | None) -> Tables:
         own = batch.select("station", "model", "ts", "abs_error").filter(F.col("abs_error").isNotNull())
         rows = own if state is None else own.unionByName(state["errors"])
-        # Only the newest rows of each task reach the shuffle.
-        w = Window.partitionBy("station", "model").orderBy(F.desc("ts"))
-        last = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+        last = timeline.newest(rows, keep, keys=["station", "model"])
         return {"errors": last}
 
     return update
