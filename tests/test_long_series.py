@@ -30,6 +30,8 @@ CASES = {
     "history": lambda df, s: split.win_history_bound(df.select("station", "ts"), keep=30),
     "labels": lambda df, s: fuzzy.prepare(df, FuzzyConfig(order=2), shape=s)[1],
     "trend": lambda df, s: series.win_seasonal_trend(df.select("station", "ts", "humidity"), "humidity", 24, shape=s),
+    "long trend": lambda df, s: series.win_seasonal_trend(df.select("station", "ts", "humidity"), "humidity", 60, shape=s),
+    "odd trend": lambda df, s: series.win_seasonal_trend(df.select("station", "ts", "humidity"), "humidity", 61, shape=s),
     "decompose": lambda df, s: series.ts_decompose(df, "humidity", 24, shape=s),
     "kpss": lambda df, s: series.ts_kpss(df, "humidity", shape=s),
     "ar": lambda df, s: series.mdl_ar(df, "humidity", series.ARConfig(p=2), shape=s),
@@ -76,3 +78,22 @@ def test_batched_moments_equal_native(full):
 
     batched = series._batched_moments(full.select("station", F.array(*names).alias("x")), 3, "station")
     assert as_set(native, 6) == as_set(batched, 6)
+
+
+@pytest.mark.parametrize("period", [12, 13])
+@pytest.mark.parametrize("column", ["humidity", "temperature"])
+def test_running_sum_trend_equals_frames(obs, shapes, period, column, monkeypatch):
+    df = obs.select("station", "ts", column)
+    want = as_set(series.win_seasonal_trend(df, column, period, shape=shapes[0]), 6)
+    monkeypatch.setattr(series, "FRAME_PERIOD", 0)
+    for s in shapes:
+        assert as_set(series.win_seasonal_trend(df, column, period, shape=s), 6) == want
+
+
+def test_nothing_is_quadratic(obs, shapes):
+    """No window frame reaches to the end of its partition; such a frame is evaluated anew for every row."""
+    for shape in shapes:
+        for name in ("interpolate", "labels", "running", "sequences"):
+            plan = CASES[name](obs, shape)._jdf.queryExecution().executedPlan().toString()
+            rows = [p for p in plan.split("specifiedwindowframe(")[1:] if "unboundedfollowing" in p.split(")")[0]]
+            assert all("unboundedpreceding" in p.split(")")[0] for p in rows), name

@@ -513,6 +513,10 @@ def ts_stationarity(df, target: str, *, station=STATION, ts=TS, alpha: float = 0
 # ---- seasonality --------------------------------------------------------------------------------------------------
 
 
+# Longest period whose average is taken over a plain frame.
+FRAME_PERIOD = 48
+
+
 def _trend(target: str, period: int):
     half = period // 2
 
@@ -531,7 +535,25 @@ def _trend(target: str, period: int):
 def win_seasonal_trend(df, target: str, period: int, *, station=STATION, ts=TS, shape: Shape | None = None) -> DataFrame:
     """Centred moving average over one period, half weights at both ends of an even period; null near the ends."""
     half = max(period // 2, 1)
-    return timeline.over_rows(df, _trend(target, period), back=half, ahead=half, station=station, ts=ts, shape=shape)
+    if period <= FRAME_PERIOD:
+        return timeline.over_rows(df, _trend(target, period), back=half, ahead=half, station=station, ts=ts, shape=shape)
+    # A frame is summed anew for every row; for long periods differences of running sums cost the same at any length.
+    shape = shape or measure(df, station)
+    sums = df.withColumns({"_x": F.coalesce(F.col(target), F.lit(0.0)), "_k": F.when(F.col(target).isNull(), 0.0).otherwise(1.0)})
+    for value, name in (("_x", "_cx"), ("_k", "_ck")):
+        sums = timeline.running_sum(sums, value, name, station=station, ts=ts, shape=shape)
+
+    def cols(w):
+        # Sum of the rows from -half+1 to half-1 (whole frame for odd periods: -half to half).
+        near, far = (half, half + 1) if period % 2 else (half - 1, half)
+        inner = F.lead("_cx", near).over(w) - F.coalesce(F.lag("_cx", far).over(w), F.lit(0.0))
+        ends = F.lit(0.0) if period % 2 else 0.5 * (F.lag("_x", half).over(w) + F.lead("_x", half).over(w))
+        known = F.lead("_ck", half).over(w) - F.coalesce(F.lag("_ck", half + 1).over(w), F.lit(0.0))
+        full = (F.lag("_x", half).over(w).isNotNull()) & (known == 2 * half + 1)
+        return {"trend": F.when(full, (inner + ends) / period)}
+
+    out = timeline.over_rows(sums, cols, back=half + 1, ahead=half, station=station, ts=ts, shape=shape)
+    return out.drop("_x", "_k", "_cx", "_ck")
 
 
 def ts_decompose(

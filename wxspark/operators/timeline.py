@@ -180,12 +180,14 @@ def known_neighbours(
     """For each column ``c`` add ``c_prev`` and ``c_next``: structs (p, v) of the nearest known value at or before and
     at or after each row. Adds ``_pos`` and ``_n`` as well."""
     fr = frames(df, station=station, ts=ts, shape=shape, keep_position=True)
+    # Looking ahead is a running frame over the reversed order: a frame that ends at the last row would be evaluated
+    # anew for every row, which is quadratic in the length of the partition.
     up = fr.window.rowsBetween(Window.unboundedPreceding, 0)
-    down = fr.window.rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy(*fr.keys).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))) for c in values}
     if not fr.blocked:
         out = {f"{c}_prev": F.last(k, ignorenulls=True).over(up) for c, k in known.items()}
-        out |= {f"{c}_next": F.first(k, ignorenulls=True).over(down) for c, k in known.items()}
+        out |= {f"{c}_next": F.last(k, ignorenulls=True).over(down) for c, k in known.items()}
         return fr.df.withColumns(out)
     edges = fr.df.groupBy(*fr.keys).agg(
         *[F.max(k).alias(f"{c}_hi") for c, k in known.items()],
@@ -193,16 +195,16 @@ def known_neighbours(
     )
     by_block = Window.partitionBy(station).orderBy(_BLOCK)
     before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_block.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(station).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *fr.keys,
         *[F.last(f"{c}_hi", ignorenulls=True).over(before).alias(f"{c}_in") for c in values],
-        *[F.first(f"{c}_lo", ignorenulls=True).over(after).alias(f"{c}_out") for c in values],
+        *[F.last(f"{c}_lo", ignorenulls=True).over(after).alias(f"{c}_out") for c in values],
     )
     both = fr.df.join(carried, fr.keys)
     out = {f"{c}_prev": F.coalesce(F.last(k, ignorenulls=True).over(up), F.col(f"{c}_in")) for c, k in known.items()}
     out |= {
-        f"{c}_next": F.coalesce(F.first(k, ignorenulls=True).over(down), F.col(f"{c}_out")) for c, k in known.items()
+        f"{c}_next": F.coalesce(F.last(k, ignorenulls=True).over(down), F.col(f"{c}_out")) for c, k in known.items()
     }
     return fr.close(both.withColumns(out).drop(*[f"{c}_in" for c in values], *[f"{c}_out" for c in values]))
 
