@@ -15,6 +15,7 @@ from wxspark.operators.clean import win_interpolate
 from wxspark.operators.metrics import agg_metrics
 from wxspark.operators.timeline import Shape, join_small, measure
 from wxspark.schema import STATION, TS
+from wxspark.session import stored
 
 # Names of the sets, lowest first.
 TERMS = ["VeryLow", "Low", "MediumLow", "Medium", "MediumHigh", "High", "VeryHigh"]
@@ -84,12 +85,17 @@ def fz_fuzzify(df, universe: DataFrame, cfg: FuzzyConfig = FuzzyConfig(), *, sha
 
 
 def best_set(x: Column, cfg: FuzzyConfig) -> Column:
-    """Number of the set that holds x best; needs u_min and u_max."""
+    """Number of the set that holds x best, the lower one on a tie; needs u_min and u_max.
+
+    Membership falls with the distance from the centre, so only the two centres around x can win.
+    """
     width = _step(cfg) * (1 + cfg.overlap)
-    grades = F.array(*[membership(x, _center(F.lit(i), cfg), width) for i in range(cfg.sets)])
-    top = F.array_max(grades)
+    at = F.coalesce(F.floor(F.try_divide(x - F.col("u_min"), F.nullif(_step(cfg), F.lit(0.0)))).cast("int"), F.lit(0))
+    low = F.greatest(F.least(at, F.lit(cfg.sets - 2)), F.lit(0))
+    high = F.least(low + 1, F.lit(cfg.sets - 1))
+    m_low, m_high = membership(x, _center(low, cfg), width), membership(x, _center(high, cfg), width)
     far = F.when(x > F.col("u_max"), cfg.sets - 1).otherwise(0) if cfg.nearest else F.lit(0)
-    return F.when(top > 0, F.array_position(grades, top).cast("int") - 1).otherwise(far)
+    return F.when(m_high > m_low, high).when(m_low > 0, low).otherwise(far)
 
 
 def antecedent(w, order: int) -> Column:
@@ -113,9 +119,14 @@ def prepare(df, cfg: FuzzyConfig = FuzzyConfig(), *, interpolate: bool = True, s
     shape = shape or measure(df, cfg.station)
     base = df.select(cfg.station, cfg.ts, cfg.target)
     universe = fz_universe(base, cfg)
+    if not shape.whole:
+        # Positions once for both window steps, and one evaluation for the rules and the rows that use them.
+        base = timeline.with_position(base, station=cfg.station, ts=cfg.ts, shape=shape)
     if interpolate:
         base = win_interpolate(base, station=cfg.station, ts=cfg.ts, columns=[cfg.target], shape=shape)
     labelled = win_antecedent(fz_fuzzify(base, universe, cfg, shape=shape), cfg, shape=shape)
+    if not shape.whole:
+        labelled = stored(labelled.drop(timeline.POS, timeline.COUNT), "labels")
     return universe, labelled
 
 
