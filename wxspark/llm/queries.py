@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wxspark.llm import chat, licenses, minhash, mixing, packing, secret_ledger, simhash, token_files, topk, toxicity
 from wxspark.llm.common import table
+from wxspark.llm.oracles import ORACLES  # noqa: F401
 from wxspark.session import scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: Also see corpus_pipeline.ORACLE_SQL. Other queries are tested against brute force in tests/llm.
