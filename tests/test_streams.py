@@ -9,15 +9,31 @@ from wxspark.streaming import jobs
 
 def test_rules_over_two_runs(full):
     labels = fuzzy.prepare(full)[1].select("station", "ts", "label")
-    got = jobs.in_two_parts(labels, F.dayofmonth("ts") <= 3, jobs.update_rules, ["last", "counts"], "t-rules")
+    got = jobs.in_two_parts(labels, F.dayofmonth("ts") <= 3, jobs.update_rules, ["waiting", "counts"], "t-rules")
     want = fuzzy.agg_rule_counts(fuzzy.prepare(full)[1], FuzzyConfig(min_support=1)).select("station", "antecedent", "consequent", "n")
-    assert as_set(got["counts"]) == as_set(want)
+    assert as_set(jobs.rule_counts(got)) == as_set(want)
+
+
+def test_late_label_comes_between(spark):
+    rows = [("s", 1, "A", 0), ("s", 2, "B", 0), ("s", 10, "C", 0), ("s", 5, "D", 1), ("t", 1, "A", 0), ("t", 100, "B", 0), ("t", 0, "C", 1), ("t", 120, "A", 1)]
+    labels = spark.createDataFrame(rows, "station string, h int, label string, part int").select("station", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "label", "part")
+    got = jobs.rule_counts(jobs.in_two_parts(labels, F.col("part") == 0, jobs.update_rules, ["waiting", "counts"], "t-late"))
+    # C of t is older than its last settled label by the time it comes.
+    assert as_set(got) == sorted([(p, q, 1, s) for s, p, q in [("s", "A", "B"), ("s", "B", "D"), ("s", "D", "C"), ("t", "A", "B"), ("t", "B", "A")]], key=str)
 
 
 def test_health_over_two_runs(spark):
     rows = [("a", i, i % 4 == 0) for i in range(23)] + [("b", i, i < 10) for i in range(20)] + [("c", i, True) for i in range(5)] + [("d", i, False) for i in range(12, 15)]
     log = spark.createDataFrame(rows, "provider string, n int, success boolean").select("provider", F.timestamp_seconds(F.col("n") * 60).alias("ts"), "success")
-    state = jobs.in_two_parts(log, F.col("ts") < F.timestamp_seconds(F.lit(12 * 60)), jobs.update_health, ["health"], "t-health")["health"]
+    state = jobs.in_two_parts(log, F.col("ts") < F.timestamp_seconds(F.lit(12 * 60)), jobs.update_health, ["health", "failures"], "t-health")["health"]
+    cols = ["provider", "total_requests", "successful_requests", "consecutive_failures", "is_healthy", "last_failure"]
+    assert as_set(jobs.health_status(state).select(cols)) == as_set(places.agg_provider_health(log).select(cols))
+
+
+def test_health_with_late_requests(spark):
+    rows = [("a", 10, True, 0), ("a", 3, False, 1), ("a", 4, False, 1), ("a", 5, False, 1), ("b", 1, False, 0), ("b", 5, False, 0), ("b", 6, False, 0), ("b", 4, True, 1), ("c", 9, False, 0), ("c", 8, False, 1), ("c", 7, False, 1)]
+    log = spark.createDataFrame(rows, "provider string, n int, success boolean, part int").select("provider", F.timestamp_seconds(F.col("n") * 60).alias("ts"), "success", "part")
+    state = jobs.in_two_parts(log, F.col("part") == 0, jobs.update_health, ["health", "failures"], "t-late")["health"]
     cols = ["provider", "total_requests", "successful_requests", "consecutive_failures", "is_healthy", "last_failure"]
     assert as_set(jobs.health_status(state).select(cols)) == as_set(places.agg_provider_health(log).select(cols))
 
@@ -30,8 +46,8 @@ def test_repeated_batch_is_harmless(spark, full):
     for _ in range(2):
         # A lost checkpoint replays batch 0; the state of that number is written again, not added.
         stream = spark.readStream.schema(labels.schema).parquet(source)
-        out = jobs.fold_batches(stream, jobs.update_rules, where, ["last", "counts"], scratch(spark, "t-cp"))
-    assert out["counts"].agg(F.sum("n")).first()[0] == 199 + 130
+        out = jobs.fold_batches(stream, jobs.update_rules, where, ["waiting", "counts"], scratch(spark, "t-cp"))
+    assert jobs.rule_counts(out).agg(F.sum("n")).first()[0] == 199 + 130
 
 
 def test_errors_keep_the_newest(spark):

@@ -359,17 +359,23 @@ def sort_ts(spark, path):
 RANKED = ["humidity", "pressure", "wind_speed", "wind_direction", "cloud_cover", "precipitation"]
 
 
+def _corr(feature: str) -> str:
+    """0 where the correlation is undefined: null on too few rows, not a number for a constant column."""
+    r = f"corr({feature}, temperature)"
+    return f"CASE WHEN {r} IS NULL OR isnan({r}) THEN 0 ELSE abs({r}) END"
+
+
 def _rank_cte(score) -> str:
     items = ", ".join(f"{{'feature': '{f}', 'score': {score(f)}}}" for f in RANKED)
     return (
         f"c AS (SELECT station, UNNEST([{items}], recursive := true) FROM panel GROUP BY station),"
-        " ranked AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score DESC, feature) AS rank FROM c)"
+        " ranked AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY round(score, 6) DESC, feature) AS rank FROM c)"
     )
 
 
 @query(
     "agg_corr_rank", "SELECT * FROM ranked", keys="station feature", ints="rank", nums="score",
-    ctes=_rank_cte(lambda f: f"coalesce(abs(corr({f}, temperature)), 0)"),
+    ctes=_rank_cte(_corr),
 )
 def agg_corr_rank(spark, path):
     return select.agg_corr_rank(panel(spark, path), RANKED, "temperature")
@@ -385,7 +391,7 @@ def agg_variance_rank(spark, path):
 
 @query(
     "topk_features", "SELECT * FROM ranked WHERE rank <= 3", keys="station feature", ints="rank", nums="score",
-    ctes=_rank_cte(lambda f: f"coalesce(abs(corr({f}, temperature)), 0)"),
+    ctes=_rank_cte(_corr),
 )
 def topk_features(spark, path):
     return select.topk_features(select.agg_corr_rank(panel(spark, path), RANKED, "temperature"), k=3)

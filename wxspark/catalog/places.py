@@ -209,8 +209,8 @@ def provider_fallback(spark, path):
         )
         obs = one if obs is None else obs.unionByName(one)
     # Provider b fails three times in a row in the log; a and c answer.
-    log = provider_log(spark, path).filter("provider IN ('click', 'error', 'view')").select(
-        F.when(F.col("provider") == "click", "a").when(F.col("provider") == "error", "b").otherwise("c").alias("provider"), "ts",
+    log = provider_log(spark, path).select(
+        F.when(F.col("provider").isin("click", "purchase"), "a").when(F.col("provider") == "error", "b").otherwise("c").alias("provider"), "ts",
         (F.col("provider") != "error").alias("success"),
     )
     health = P.agg_provider_health(log, reset_after=10**9)
@@ -219,15 +219,16 @@ def provider_fallback(spark, path):
 
 @query(
     "coverage_gate",
-    "SELECT station, ts, temperature, 'stored' AS origin FROM panel WHERE station NOT IN ('view', 'click')"
-    " UNION ALL SELECT station, ts, temperature, 'fetched' FROM panel WHERE station = 'view'"
-    " UNION ALL SELECT station, ts, temperature, 'fallback' FROM panel WHERE station = 'click' AND day(ts) <= 5",
+    "SELECT kept.station, ts, temperature, CASE WHEN enough THEN 'stored' ELSE 'fallback' END AS origin FROM kept JOIN have ON kept.station = have.station WHERE enough OR kept.station NOT IN (SELECT station FROM got)"
+    " UNION ALL SELECT got.station, ts, temperature, 'fetched' FROM got LEFT JOIN have ON got.station = have.station WHERE NOT coalesce(enough, false)",
     keys="station ts origin", nums="temperature",
+    ctes="kept AS (SELECT station, ts, temperature FROM panel WHERE ascii(station) % 2 = 0 OR hour(ts) % 3 = 0), got AS (SELECT station, ts, temperature FROM panel WHERE ascii(station) % 3 <> 0),"
+    " have AS (SELECT station, count(*) >= 16*20 AS enough FROM kept GROUP BY station)",
 )
 def coverage_gate(spark, path):
     obs = panel_table(spark, path)
-    short = F.col("station").isin("view", "click") & (F.dayofmonth("ts") > 5)
-    return P.coverage_gate(obs.filter(~short), obs.filter("station IN ('view', 'signup')"), 16)
+    kept = obs.filter("ascii(station) % 2 = 0 OR hour(ts) % 3 = 0")
+    return P.coverage_gate(kept, obs.filter("ascii(station) % 3 <> 0"), 16)
 
 
 # ---- stores -------------------------------------------------------------------------------------------------------

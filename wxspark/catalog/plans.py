@@ -19,12 +19,12 @@ from wxspark.streaming import jobs
 # ---- feature pipeline ---------------------------------------------------------------------------------------------
 
 TIME = ["hour", "day_of_week", "day_of_year", "month", "season"]
-EXTRA = ["pressure_tendency", "temp_humidity_ratio", "pressure_normalized", "precipitation_intensity", "feels_like", "dew_point"]
+EXTRA = ["pressure_tendency", "temp_humidity_ratio", "pressure_normalized", "precipitation_intensity", "feels_like", "dew_point", "heat_index", "wind_chill"]
 ALL = [*BASE, *EXTRA, *TIME, *S.CYC_NAMES, *S.LAG_NAMES, *S.ROLL_NAMES]
 ENG = (
     f"eng AS (SELECT station, ts, {', '.join(BASE)}, {S.HOUR} AS hour, {S.DOW} AS day_of_week, dayofyear(ts) AS day_of_year, {S.MONTH} AS month, {S.SEASON} AS season,"
     f" {S.CYC_SQL}, {S.TENDENCY} AS pressure_tendency, {S.RATIO} AS temp_humidity_ratio, (pressure-1013.25::DOUBLE)/1013.25::DOUBLE AS pressure_normalized,"
-    f" {S.RAIN_BIN} AS precipitation_intensity, {S.FEELS} AS feels_like, {S.DEW} AS dew_point, {S.LAG_SQL}, {S.ROLL_SQL} FROM panel {S.WINDOW_SQL})"
+    f" {S.RAIN_BIN} AS precipitation_intensity, {S.FEELS} AS feels_like, {S.DEW} AS dew_point, {S.HEAT} AS heat_index, {S.CHILL} AS wind_chill, {S.LAG_SQL}, {S.ROLL_SQL} FROM panel {S.WINDOW_SQL})"
 )
 
 
@@ -223,7 +223,7 @@ def st_ingest(spark, path):
 )
 def st_rules(spark, path):
     labels = fuzzy.prepare(panel_table(spark, path))[1].select("station", "ts", "label")
-    return jobs.in_two_parts(labels, F.dayofmonth("ts") <= 12, jobs.update_rules, ["last", "counts"], "st-rules")["counts"]
+    return jobs.rule_counts(jobs.in_two_parts(labels, F.dayofmonth("ts") <= 12, jobs.update_rules, ["waiting", "counts"], "st-rules"))
 
 
 @query(
@@ -241,5 +241,5 @@ def st_errors(spark, path):
     ctes=HEALTH,
 )
 def st_provider_health(spark, path):
-    out = jobs.in_two_parts(provider_log(spark, path), F.dayofmonth("ts") <= 15, jobs.update_health, ["health"], "st-health")
+    out = jobs.in_two_parts(provider_log(spark, path), F.dayofmonth("ts") <= 15, jobs.update_health, ["health", "failures"], "st-health")
     return jobs.health_status(out["health"])

@@ -64,7 +64,9 @@ def weather_features(df: DataFrame) -> DataFrame:
     """Needs ``pressure_tendency`` from the window step."""
     t, h, v = F.col("temperature"), F.col("humidity"), F.col("wind_speed")
     df = W.sc_precip_intensity(W.sc_ratio_norm(df))
-    return df.withColumns({"feels_like": W.feels_like(t, h, v), "dew_point": W.dew_point(t, h)})
+    return df.withColumns(
+        {"feels_like": W.feels_like(t, h, v), "dew_point": W.dew_point(t, h), "heat_index": W.heat_index(t, h), "wind_chill": W.wind_chill(t, v)}
+    )
 
 
 def engineered(

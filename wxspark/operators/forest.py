@@ -92,15 +92,16 @@ def int_tree_spread(models: dict, rows: DataFrame, *, station=STATION, ts=TS) ->
     return out
 
 
-GRID = {"trees": [20, 40], "depth": [5], "min_leaf": [2], "subset": ["sqrt"]}
+# The whole search space; callers narrow it.
+GRID = {"trees": [50, 100, 200], "depth": [10, 20, 30], "min_leaf": [1, 2, 4], "subset": ["sqrt", "log2", "all"]}
 
 
 def mdl_forest_tune(
-    train: DataFrame, target: str, grid: dict[str, list] | None = None, *, n_splits: int = 3, newest: int | None = 5000,
+    train: DataFrame, target: str, grid: dict[str, list] | None = None, *, n_splits: int = 3, newest: int | None = None,
     station=STATION, ts=TS, shape: Shape | None = None,
 ) -> DataFrame:
-    """Mean squared error of each grid point over expanding folds, best first. ``newest`` keeps the last rows of each
-    series for the search only."""
+    """Mean squared error of each grid point over expanding folds, best first. All rows take part; ``newest`` limits
+    the search to the last rows of each series where a caller wants that."""
     grid = GRID if grid is None else grid
     if newest is not None:
         train = split.win_history_bound(train, keys=[station], ts=ts, keep=newest)
@@ -171,13 +172,14 @@ def multi_step(
 
 def poisson_weight(seed: int, *keys: str) -> Column:
     """Poisson(1) count from a hash of the row keys, the same on every retry of a task."""
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chain, p, total = F, 0.36787944117144233, 0.0
-    for k in range(8):
+    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    chain, p, total, k = F, 0.36787944117144233, 0.0, 0
+    while p > 1e-16:
         total += p
         chain = chain.when(u < total, float(k))
-        p /= k + 1
-    return chain.otherwise(8.0)
+        k += 1
+        p /= k
+    return chain.otherwise(float(k))
 
 
 def int_replicas(train: DataFrame, rows: DataFrame, target: str, *, replicas: int = 50, station=STATION, ts=TS) -> DataFrame:
@@ -193,5 +195,6 @@ def int_replicas(train: DataFrame, rows: DataFrame, target: str, *, replicas: in
 
 def recent_windows(df, *, length: int = 24, features=tuple(TARGETS), station=STATION, ts=TS, shape=None) -> DataFrame:
     """The newest full window of each station with its vector."""
-    last = split.win_sequences_predict(df, length=length, features=features, last_only=True, station=station, ts=ts, shape=shape)
+    full = df.dropna(subset=list(features))
+    last = split.win_sequences_predict(full, length=length, features=features, last_only=True, station=station, ts=ts, shape=shape)
     return last.withColumn("features", array_to_vector(F.flatten("window")))

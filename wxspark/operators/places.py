@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wxspark.functions.geo import CITIES, CITY_COUNTRY, EARTH_KM, haversine
 from wxspark.functions.labels import location_name
-from wxspark.operators.timeline import count_small, join_small
+from wxspark.operators.timeline import count_small, join_small, measure
 from wxspark.schema import TS
 
 _DEGREE_KM = EARTH_KM * math.pi / 180
@@ -216,7 +216,7 @@ def agg_provider_health(
     """
     last = log.groupBy("provider").agg(F.max(F.when(F.col("success"), F.col(ts))).alias("_ok"))
     last = last.withColumnRenamed("provider", "_p")
-    marked = log.join(last, F.col("provider") == F.col("_p"), "left").drop("_p")
+    marked = join_small(log, last.withColumnRenamed("_p", "provider"), ["provider"], measure(log, "provider").series)
     after = ~F.col("success") & (F.col("_ok").isNull() | (F.col(ts) > F.col("_ok")))
     g = marked.groupBy("provider").agg(
         F.count(F.lit(1)).alias("total_requests"),
@@ -262,5 +262,7 @@ def coverage_gate(obs: DataFrame, fetched: DataFrame, days: int, *, station: str
         station,
         F.when(F.coalesce("_enough", F.lit(False)), "stored").when(F.col("_new"), "fetched").otherwise("fallback").alias("origin"),
     )
-    kept = obs.join(plan.filter("origin <> 'fetched'"), station)
-    return kept.unionByName(fetched.join(plan.filter("origin = 'fetched'"), station), allowMissingColumns=True)
+    n = measure(obs, station).series + measure(fetched, station).series
+    kept = join_small(obs, plan.filter("origin <> 'fetched'"), [station], n, "inner")
+    more = join_small(fetched, plan.filter("origin = 'fetched'"), [station], n, "inner")
+    return kept.unionByName(more, allowMissingColumns=True)

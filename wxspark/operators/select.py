@@ -11,8 +11,9 @@ from wxspark.schema import STATION, TS
 
 
 def _ranked(scores: DataFrame, station: str) -> DataFrame:
-    """Scores of one series are as many as its features, so the window partitions are small."""
-    w = Window.partitionBy(station).orderBy(F.desc("score"), "feature")
+    """Scores of one series are as many as its features, so the window partitions are small. Scores that agree to six
+    digits are ties, decided by name."""
+    w = Window.partitionBy(station).orderBy(F.desc(F.round("score", 6)), "feature")
     return scores.withColumn("rank", F.row_number().over(w))
 
 

@@ -111,6 +111,7 @@ def pad_recent(df, current: DataFrame, *, station=STATION, ts=TS, need: int = 24
     counts = df.groupBy(station).agg(F.count(F.lit(1)).alias("_c"))
     state = current.select(station).join(counts, station, "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
     short = state.filter(F.col("_c") < need).select(station)
-    kept = df.join(short, station, "left_anti").withColumn("copy", F.lit(None).cast("int"))
+    n = timeline.measure(current, station).series
+    kept = timeline.join_small(df, short, [station], n, "left_anti").withColumn("copy", F.lit(None).cast("int"))
     padded = current.join(short, station, "left_semi").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(need))))
     return kept.unionByName(padded.select(*kept.columns))

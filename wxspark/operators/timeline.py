@@ -23,6 +23,8 @@ MAX_SERIES_ROWS = 1_000_000
 MAX_SMALL_CELLS = 2_000_000
 BLOCK_ROWS = 100_000
 CHUNK_DAYS = 32
+# Rows per key up to which the engine cuts before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 POS, COUNT = "_pos", "_n"
 _CHUNK, _BLOCK, _HOME = "_chunk", "_block", "_home"
@@ -66,15 +68,29 @@ def join_small(
 
 
 def count_small(df: DataFrame, limit: int = MAX_SMALL_CELLS) -> int | None:
-    """Number of rows, or None above ``limit``; counting stops there."""
-    n = df.limit(limit + 1).count()
+    """Number of rows, or None above ``limit``."""
+    n = df.count()
     return n if n <= limit else None
 
 
 def newest(df: DataFrame, keep: int, *, keys: Sequence[str] = ("station",), ts: str = "ts") -> DataFrame:
     """The last ``keep`` rows of every key. Each task first keeps only its own newest rows, so a long series sends
-    ``keep`` rows per task to the shuffle instead of all of them."""
+    ``keep`` rows per task to the shuffle instead of all of them.
+
+    The engine does so up to GROUP_LIMIT rows. For more, row counts of time chunks tell which chunks hold them, and
+    only rows of those chunks are ranked: at most ``keep`` and one chunk per key.
+    """
     w = Window.partitionBy(*keys).orderBy(F.desc(ts))
+    if keep > GROUP_LIMIT:
+        chunk = F.floor(F.unix_date(F.to_date(ts)) / CHUNK_DAYS)
+        later = Window.partitionBy(*keys).orderBy(F.col(_CHUNK).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        counts = df.groupBy(*keys, chunk.alias(_CHUNK)).agg(F.count(F.lit(1)).alias("_c"))
+        needed = counts.withColumn("_later", F.coalesce(F.sum("_c").over(later), F.lit(0))).filter(F.col("_later") < keep)
+        needed = needed.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(_CHUNK).alias("_needed"))
+        same = chunk.eqNullSafe(F.col("_needed"))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+        df = df.join(needed, same, "left_semi")
     return df.withColumn("_newest", F.row_number().over(w)).filter(F.col("_newest") <= keep).drop("_newest")
 
 

@@ -91,17 +91,44 @@ def fold_batches(
     return state_tables(spark, path, names)
 
 
-def update_rules(batch: DataFrame, state: Tables | None) -> Tables:
-    """Last label of each station and transition counts. batch: station, ts, label."""
+# Labels of a station wait this long for late ones before their order counts as settled.
+RULE_DELAY = "1 day"
+
+
+def update_rules(batch: DataFrame, state: Tables | None, delay: str = RULE_DELAY) -> Tables:
+    """Transition counts of settled labels, and the labels that wait. batch: station, ts, label.
+
+    A pair of neighbours counts once both are older than the newest label of their station by more than ``delay``; until then a
+    late label may come between them. ``waiting`` holds the unsettled labels and the last settled one of each station. A
+    label older than that one is too late and left out.
+    """
     own = batch.select("station", "ts", "label")
-    rows = own if state is None else own.unionByName(state["last"])
-    shape = measure(rows)
+    if state is not None:
+        settled = state["waiting"].filter("settled").select("station", F.col("ts").alias("_settled"))
+        fresh = timeline.join_small(own, settled, ["station"], timeline.count_small(settled)).filter("_settled IS NULL OR ts > _settled").drop("_settled")
+        own = fresh.unionByName(state["waiting"].drop("settled"))
+    edge = own.groupBy("station").agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("_edge"))
+    shape = measure(own)
+    rows = timeline.join_small(own, edge, ["station"], shape.series, "inner").withColumn("settled", F.col("ts") < F.col("_edge")).drop("_edge")
     chained = timeline.over_rows(rows, lambda w: {"antecedent": F.lag("label").over(w)}, back=1, shape=shape)
-    fresh = chained.filter(F.col("antecedent").isNotNull()).groupBy("station", "antecedent", F.col("label").alias("consequent"))
-    counts = fresh.agg(F.count(F.lit(1)).alias("n"))
+    # The last settled label of the batch before is the first row here, so each settled pair is counted once.
+    counts = _pairs(chained.filter("settled"))
+    last = rows.filter("settled").groupBy("station").agg(F.max_by(F.struct("ts", "label"), "ts").alias("r")).select("station", "r.*", F.lit(True).alias("settled"))
     if state is not None:
         counts = counts.unionByName(state["counts"]).groupBy("station", "antecedent", "consequent").agg(F.sum("n").alias("n"))
-    return {"last": split.latest_row(rows), "counts": counts}
+    return {"waiting": rows.filter("NOT settled").unionByName(last), "counts": counts}
+
+
+def _pairs(chained: DataFrame) -> DataFrame:
+    pairs = chained.filter(F.col("antecedent").isNotNull()).groupBy("station", "antecedent", F.col("label").alias("consequent"))
+    return pairs.agg(F.count(F.lit(1)).alias("n"))
+
+
+def rule_counts(state: Tables) -> DataFrame:
+    """Counts as they stand: the settled pairs and those among the waiting labels."""
+    waiting = timeline.over_rows(state["waiting"], lambda w: {"antecedent": F.lag("label").over(w)}, back=1)
+    both = _pairs(waiting).unionByName(state["counts"])
+    return both.groupBy("station", "antecedent", "consequent").agg(F.sum("n").alias("n"))
 
 
 def update_errors(keep: int = 100):
@@ -119,27 +146,26 @@ def update_errors(keep: int = 100):
 def update_health(batch: DataFrame, state: Tables | None) -> Tables:
     """Totals and trailing failures of each provider. batch: provider, ts, success.
 
-    The failures after the newest success of the batch replace the stored run; without a success they extend it.
+    ``health`` holds totals, the newest success and the newest failure by event time; ``failures`` the failures after the newest
+    success, counted by time. Both are compared by event time, so late requests change them as if they had been on time.
     """
-    ok = F.when(F.col("success"), F.col("ts"))
-    last = batch.groupBy("provider").agg(F.max(ok).alias("_ok"))
-    after = ~F.col("success") & (F.col("_ok").isNull() | (F.col("ts") > F.col("_ok")))
-    g = batch.join(last, "provider").groupBy("provider").agg(
-        F.count(F.lit(1)).alias("total_requests"), F.count_if("success").alias("successful_requests"),
-        F.count_if(after).alias("run"), F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure"),
-        F.max("_ok").alias("_ok"), F.max("ts").alias("seen"),
-    )
+    ok = F.max(F.when(F.col("success"), F.col("ts")))
+    g = batch.groupBy("provider").agg(
+        F.count(F.lit(1)).alias("total_requests"), F.count_if("success").alias("successful_requests"), ok.alias("last_success"),
+        F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure"), F.max("ts").alias("seen"),
+    )
+    failed = batch.filter(~F.col("success")).groupBy("provider", "ts").agg(F.count(F.lit(1)).alias("n"))
     if state is not None:
-        s = state["health"].select("provider", *[F.col(c).alias(f"s_{c}") for c in state["health"].columns if c != "provider"])
-        add = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"s_{c}", F.lit(0))).alias(c)
-        run = F.when(F.col("_ok").isNotNull(), F.col("run")).otherwise(F.coalesce("run", F.lit(0)) + F.coalesce("s_run", F.lit(0)))
-        g = g.join(s, "provider", "full").select(
-            "provider", add("total_requests"), add("successful_requests"), run.alias("run"),
-            F.coalesce("last_failure", "s_last_failure").alias("last_failure"), F.greatest("seen", "s_seen").alias("seen"),
+        g = g.unionByName(state["health"].drop("run")).groupBy("provider").agg(
+            *[F.sum(c).alias(c) for c in ("total_requests", "successful_requests")], *[F.max(c).alias(c) for c in ("last_success", "last_failure", "seen")]
         )
-    else:
-        g = g.drop("_ok")
-    return {"health": g}
+        failed = failed.unionByName(state["failures"]).groupBy("provider", "ts").agg(F.sum("n").alias("n"))
+    n = timeline.count_small(g)
+    last = g.select("provider", "last_success")
+    trailing = timeline.join_small(failed, last, ["provider"], n, "inner").filter("last_success IS NULL OR ts > last_success").drop("last_success")
+    run = trailing.groupBy("provider").agg(F.sum("n").alias("run"))
+    health = g.join(run, "provider", "left").withColumn("run", F.coalesce("run", F.lit(0)))
+    return {"health": health, "failures": trailing}
 
 
 def health_status(state: DataFrame, *, unhealthy_at: int = 3, reset_after: int = 300) -> DataFrame:
@@ -151,7 +177,7 @@ def health_status(state: DataFrame, *, unhealthy_at: int = 3, reset_after: int =
     reset = down & (seconds("_now") - seconds("last_failure") > reset_after)
     return out.withColumns(
         {"consecutive_failures": F.when(reset, F.lit(0)).otherwise(F.col("run")), "is_healthy": ~down | reset}
-    ).drop("_now", "run", "seen")
+    ).drop("_now", "run", "seen", "last_success")
 
 
 def in_two_parts(df: DataFrame, first, update, names: list[str], label: str) -> Tables:
