@@ -80,17 +80,15 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         pairs = both(current)
         low = smallest(pairs).select("u", F.least("u", "m").alias("m"))
-        large = pairs.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = smallest(down)
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        after = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        # Stars in order: no node is both a root and a member, and no member has two roots.
-        totals = after.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        chained = after.select("b").distinct().join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
-        current = after
-        if totals <= 1 and not chained:
+        large = pairs.where("v > u").join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        low = smallest(large)
+        small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        current = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        # Settled when each node is either a root or has one root: members once on the left, roots never.
+        sides = current.select(F.col("a").alias("u"), F.lit(1).alias("member")).union(current.select("b", F.lit(0)))
+        per_node = sides.groupBy("u").agg(F.sum("member").alias("roots"), F.min("member").alias("least"))
+        if per_node.where("roots > 1 or (roots = 1 and least = 0)").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text encoded at once, and parts a worker remembers.
 SLICE_BYTES = 4 << 20
-CACHE_PARTS = 500_000
+CACHE_PARTS = 300_000
 JOINED_PARTS = 20_000
 
 
