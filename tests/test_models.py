@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from wxspark.operators import ensemble as E
@@ -79,6 +80,40 @@ def test_window_regression(full):
     assert steps == pytest.approx({r["station"]: r["prediction"] for r in first})
     replicas = forest.int_replicas(train, train, "temperature", replicas=3)
     assert replicas.filter("lower <= prediction AND prediction <= upper").count() == train.count()
+    close = replicas.join(forest.predict_long({"temperature": models["temperature"]}, train).withColumnRenamed("prediction", "p"), ["station", "ts"])
+    assert close.selectExpr("max(abs(prediction - p))").first()[0] < 3
+
+
+@pytest.mark.parametrize("width", [3, 20])
+def test_moments_give_the_same_ridge(full, width):
+    import numpy as np
+
+    def moments(x, y):
+        shift = np.append(x[:64].mean(axis=0), y[:64].mean())
+        z = np.column_stack([np.column_stack([x, y]) - shift, np.ones(len(x))])
+        return z.T @ z, shift
+
+    rnd = np.random.default_rng(1)
+    x = 10 + rnd.normal(size=(400, width))
+    y = x @ np.arange(1, width + 1) + rnd.normal(size=400)
+    train = full.sparkSession.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label_y"])
+    theirs = np.array([r["prediction"] for r in forest.mdl_window_reg(train, ["y"])["y"].transform(train).collect()])
+    m, shift = moments(x, y)
+    c, at = forest.ridge(m, 0.1)
+    assert np.abs((x - shift[:-1]) @ c + at + shift[-1] - theirs).max() < 0.02 * y.std()
+    # Far from zero nothing is lost.
+    far = 1e6 + x
+    exact, _ = forest.ridge(moments(far, y)[0], 0.0)
+    direct = np.linalg.lstsq(np.column_stack([x - x.mean(0), np.ones(400)]), y, rcond=None)[0]
+    assert np.abs(exact - direct[:-1]).max() < 1e-6
+
+
+def test_poisson_counts():
+    import numpy as np
+
+    w = forest.poisson_counts(np.arange(200_000), 2)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and w.max() >= 7
+    assert (forest.poisson_counts(np.arange(5), 2) == w[:5]).all()
 
 
 def test_single_model_has_all_weight(spark):

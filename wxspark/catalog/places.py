@@ -320,6 +320,20 @@ def snk_forecast_store(spark, path):
     return stores.forecast_store(old, f.filter(F.col("o_orderkey") % 2 == 1))
 
 
+@query(
+    "src_forecast_store",
+    "SELECT DISTINCT latitude, longitude, horizon, cache_key, e.at IS NOT NULL AS hit, e.at AS created_at FROM (SELECT *, printf('pred_%.2f_%.2f_%d', latitude, longitude, horizon) AS cache_key FROM fs)"
+    " LEFT JOIN (SELECT printf('pred_%.2f_%.2f_%d', latitude, longitude, horizon) AS cache_key, max(created_at) AS at FROM fs GROUP BY 1 HAVING max(created_at) + INTERVAL 100 DAY >= TIMESTAMP '2001-09-01') e USING (cache_key)",
+    keys="latitude longitude horizon cache_key hit created_at", ctes=STORE,
+)
+def src_forecast_store(spark, path):
+    """Every place and horizon ever stored asks for its entry; entries live 100 days here, so some have expired."""
+    f = forecasts(spark, path)
+    store = stores.forecast_store(None, f, ttl=100 * 86400)
+    requests = f.select("latitude", "longitude", "horizon").distinct()
+    return stores.read_forecasts(store, requests, F.lit("2001-09-01").cast("timestamp_ntz"))
+
+
 @query(
     "cache_key", "SELECT id, 'get_weather|lat:' || printf('%.2f', lat) || '|lon:' || printf('%.2f', lon) AS cache_key FROM points", keys="id cache_key",
 )

@@ -125,7 +125,8 @@ def int_tree_spread(spark, path):
     return forest.int_tree_spread(forest.mdl_forest(train, ["temperature"], SMALL), train)
 
 
-def window_train(spark, path, length=12):
+def window_train(spark, path, length=24):
+    """A day of rows per window; the longest training window of 168 rows is the same plan with wider vectors."""
     return stored(forest.window_frame(panel(spark, path), length=length), "windows")
 
 
@@ -138,14 +139,14 @@ def mdl_window_reg(spark, path):
 @query("mdl_multi_step_window", keys="station", ints="step", nums=" ".join(TARGETS))
 def mdl_multi_step_window(spark, path):
     obs = panel_table(spark, path)
-    models = forest.mdl_window_reg(stored(forest.window_frame(obs, length=12), "windows"))
-    return forest.multi_step(models, forest.recent_windows(obs, length=12), 12)
+    models = forest.mdl_window_reg(stored(forest.window_frame(obs, length=24), "windows"))
+    return forest.multi_step(models, forest.recent_windows(obs, length=24), 24)
 
 
 @query("int_replicas", keys="station ts", nums="prediction lower upper")
 def int_replicas(spark, path):
-    train = window_train(spark, path, 6)
-    return forest.int_replicas(train, train, "temperature", replicas=5)
+    train = window_train(spark, path)
+    return forest.int_replicas(train, train, "temperature")
 
 
 # ---- forecasts ----------------------------------------------------------------------------------------------------

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wxspark.operators import split, timeline
-from wxspark.operators.intervals import int_samples, int_samples_grouped
+from wxspark.operators.intervals import int_samples
 from wxspark.operators.select import topk_importance
 from wxspark.operators.timeline import Shape, measure
 from wxspark.schema import STATION, TARGETS, TS
@@ -170,27 +173,75 @@ def multi_step(
     return done.select(station, "last_ts", "step", *[F.col(f"p.{t}").alias(t) for t in models])
 
 
-def poisson_weight(seed: int, *keys: str) -> Column:
-    """Poisson(1) count from a hash of the row keys, the same on every retry of a task."""
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    chain, p, total, k = F, 0.36787944117144233, 0.0, 0
-    while p > 1e-16:
-        total += p
-        chain = chain.when(u < total, float(k))
-        k += 1
-        p /= k
-    return chain.otherwise(float(k))
-
-
-def int_replicas(train: DataFrame, rows: DataFrame, target: str, *, replicas: int = 50, station=STATION, ts=TS) -> DataFrame:
-    """Interval from seeded bootstrap refits: each replica weights the rows by its own Poisson counts."""
-    votes = None
-    for b in range(replicas):
-        weighted = train.withColumn("_w", poisson_weight(b, station, ts))
-        model = mdl_window_reg(weighted, [target], weight="_w")[target]
-        scored = model.transform(rows.select(station, ts, "features")).select(station, ts, "prediction")
-        votes = scored if votes is None else votes.unionByName(scored)
-    return int_samples_grouped(votes, by=[station, ts])
+def poisson_counts(keys, replicas: int):
+    """Poisson(1) counts of each replica from hashes of row keys, one row per key: the same on every retry of a task."""
+    # Probabilities until a term no longer shows in the sum.
+    chances = [math.exp(-1) / math.factorial(k) for k in range(19)]
+    u = keys.astype(np.uint64)[:, None] + np.arange(1, replicas + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        u = (u ^ (u >> np.uint64(shift))) * np.uint64(factor)
+    u = (u ^ (u >> np.uint64(31))) >> np.uint64(11)
+    return np.searchsorted(np.cumsum(chances), u / 2.0**53, side="right").astype(np.float64)
+
+
+def ridge(moments, reg: float):
+    """Coefficients and intercept from the weighted sums of products of (features, label, 1); both sides are standardised
+    for the penalty, as in mdl_window_reg. Constant features get 0."""
+    n, mean = moments[-1, -1], moments[-1, :-1] / moments[-1, -1]
+    cov = moments[:-1, :-1] / n - np.outer(mean, mean)
+    dev = np.sqrt(np.maximum(np.diag(cov), 0))
+    dev[dev <= 1e-9 * np.maximum(1, np.abs(mean))] = 0
+    used = np.flatnonzero(dev[:-1])
+    out = np.zeros(len(mean) - 1)
+    if dev[-1] and len(used):
+        scale = dev[used]
+        a = cov[np.ix_(used, used)] / np.outer(scale, scale) + reg / dev[-1] * np.eye(len(used))
+        out[used] = np.linalg.solve(a, cov[used, -1] / (scale * dev[-1])) * dev[-1] / scale
+    return out, mean[-1] - out @ mean[:-1]
+
+
+def int_replicas(
+    train: DataFrame, rows: DataFrame, target: str, *, replicas: int = 50, reg: float = 0.1, station=STATION, ts=TS
+) -> DataFrame:
+    """Interval from seeded bootstrap refits: each replica weights the rows by its own Poisson counts.
+
+    All replicas come from one pass over ``train``: a task adds up the weighted products of its rows for every replica (replicas
+    x features^2 numbers, bounded by the two), the sums of each replica meet in one row, and ``rows`` are scored in place.
+    Products are taken around the mean of a few rows, so values far from zero lose no digits.
+    """
+    label = f"label_{target}"
+    few = train.select(vector_to_array("features").alias("x"), label).dropna().limit(64).collect()
+    if not few:
+        return rows.select(station, ts, *[F.lit(None).cast("double").alias(c) for c in ("prediction", "lower", "upper")])
+    shift = np.mean([[*r["x"], r[label]] for r in few], axis=0)
+
+    def add_up(frames):
+        sums = None
+        for f in frames:
+            x = np.column_stack([np.array(f["x"].tolist()), f["y"].to_numpy()]) - shift
+            x = np.column_stack([x, np.ones(len(x))])
+            w = poisson_counts(f["k"].to_numpy(), replicas)
+            part = np.stack([(x * w[:, i : i + 1]).T @ x for i in range(replicas)])
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            yield pd.DataFrame({"replica": range(replicas), "m": [s.ravel().tolist() for s in sums]})
+
+    def fit(key, f):
+        size = len(shift) + 1
+        coefs, at = ridge(np.sum([np.array(m) for m in f["m"]], axis=0).reshape(size, size), reg)
+        return pd.DataFrame({"replica": [key[0]], "c": [[*coefs.tolist(), float(at)]]})
+
+    given = train.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(station, ts).alias("k"))
+    sums = given.dropna().mapInPandas(add_up, "replica int, m array<double>")
+    fitted = sums.groupBy("replica").applyInPandas(fit, "replica int, c array<double>").orderBy("replica").collect()  # one row per replica
+    c = np.array([r["c"] for r in fitted])
+
+    @F.pandas_udf("array<double>")
+    def votes(x: pd.Series) -> pd.Series:
+        p = (np.array(x.tolist()).reshape(len(x), -1) - shift[:-1]) @ c[:, :-1].T + c[:, -1] + shift[-1]
+        return pd.Series(p.tolist())
+
+    return int_samples(rows.select(station, ts, votes(vector_to_array("features")).alias("samples"))).drop("samples")
 
 
 def recent_windows(df, *, length: int = 24, features=tuple(TARGETS), station=STATION, ts=TS, shape=None) -> DataFrame:

@@ -63,12 +63,9 @@ def new_rows(incoming: DataFrame, stored: DataFrame, *, source: str, key: Sequen
 
 def upsert_obs(spark: SparkSession, incoming: DataFrame, path: str, *, source: str) -> None:
     """Append the rows that are new. The stored side is cut to the days of the batch before the join."""
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = None
+    fs, place = _fs(spark, path)
+    there = fs.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(place))
+    stored = spark.read.parquet(path) if there else None
     if stored is None:
         fresh = new_rows(incoming, incoming.limit(0), source=source)
     else:
@@ -216,6 +213,20 @@ def forecast_store(stored: DataFrame | None, new: DataFrame, *, ttl: int = FOREC
     return both.groupBy(*keys).agg(newest.alias("e")).select(*keys, *[f"e.{c}" for c in rest])
 
 
+def read_forecasts(store: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """The unexpired entry of each requested place and horizon; ``hit`` says whether there is one.
+
+    ``requests`` has latitude, longitude and horizon; places count as the same when their keys are. Of several places with
+    one key the newest entry is taken.
+    """
+    key = forecast_key(F.col("latitude"), F.col("longitude"), F.col("horizon"))
+    rest = [c for c in store.columns if c not in ("latitude", "longitude", "horizon", "cache_key")]
+    alive = store.filter(F.col("expires_at") >= now).groupBy("cache_key").agg(F.max_by(F.struct(*rest), "created_at").alias("e"))
+    asked = requests.select("latitude", "longitude", "horizon", key.alias("cache_key"))
+    found = asked.join(alive, "cache_key", "left")
+    return found.select("latitude", "longitude", "horizon", "cache_key", F.col("e").isNotNull().alias("hit"), *[f"e.{c}" for c in rest])
+
+
 def cache_key(method: Column, params: Column) -> Column:
     """method|name:value|... with the parameters (a string map) sorted by name."""
     entries = F.array_sort(F.map_entries(params))
