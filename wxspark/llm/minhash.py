@@ -143,16 +143,16 @@ def report(documents: DataFrame, permutations: int = PERMUTATIONS, shingle: int
         changed_sig = minima(shingles(changed, shingle), a, b)
         return {
             "n_chars": len(text),
-            "edited_sha256": hashlib.sha256(utf8(changed)).hexdigest(),
-            "fingerprint": sig.tobytes().hex(),
-            "edited_fingerprint": changed_sig.tobytes().hex(),
+            "edited_sha256": hashlib.sha256(utf8(changed)).digest(),
+            "fingerprint": sig.tobytes(),
+            "edited_fingerprint": changed_sig.tobytes(),
             "near_edited": likeness(sig, changed_sig),
             "near_next": likeness(sig, next_sig),
         }
 
-    out = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     names = [c.split()[0] for c in out.split(", ")]
-    kinds = {"n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    kinds = {"n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()} | dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.binary())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -195,4 +195,6 @@ def report(documents: DataFrame, permutations: int = PERMUTATIONS, shingle: int
     tails = walked.where("kind = 'tail'").select("part", "doc_id", "text").join(order, "part")
     heads = walked.where("kind = 'head'").select(F.col("part").alias("head"), F.col("text").alias("following"))
     ends = tails.join(heads, "head").select("doc_id", "text", "following").mapInArrow(close, f"doc_id long, {out}")
-    return walked.where("kind = 'row'").select("doc_id", *names).union(ends)
+    # Hashes lie as bytes in the table between the passes, half as large as their digits.
+    shown = [F.lower(F.hex(n)).alias(n) if pa.types.is_binary(kinds.get(n, pa.string())) else F.col(n) for n in names]
+    return walked.where("kind = 'row'").select("doc_id", *names).union(ends).select("doc_id", *shown)
