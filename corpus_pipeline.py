@@ -30,9 +30,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets found in a text are replaced by a mark; documents without any stay as they are."""
     found = secret_ledger.findings(secret_ledger.scan(docs, scratch(spark, "ledger")))
     rows = secret_ledger.attach(docs, found, into="_secrets")
-    text = secret_ledger.masked("text", "_secrets")
-    size = F.when(F.size("_secrets") > 0, F.length(text)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    changed = {"text": text} | ({"n_chars": size.cast(docs.schema["n_chars"].dataType)} if size is not None else {})
+    # The masked text is a column of its own first: next to an alias "text", the lambdas would read the alias.
+    rows = rows.withColumn("_secrets_masked", secret_ledger.masked("text", "_secrets"))
+    text = F.col("_secrets_masked")
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        size = F.when(F.size("_secrets") > 0, F.length(text)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
