@@ -78,7 +78,7 @@ def test_topk(spark):
     got = run(spark, 6)
     e = pd.read_parquet(f"{SF}/embeddings.parquet")
     rows = [(i, np.floor(64 * np.asarray(v, float)).astype(int).tolist()) for i, v in zip(e.vec_id, e.embedding)]
-    assert sorted(got[["query", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == brute.top(rows, 20, lambda i: i % 20 == 0)
+    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == brute.top(rows, 20, lambda i: i % 20 == 0)
 
 
 def test_minhash(spark, docs):

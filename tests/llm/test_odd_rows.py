@@ -170,7 +170,7 @@ def test_topk(spark):
     data = [(i, [float(i % 3), -0.5, i / 7]) for i in range(30)]
     data += [(20, [1.0, 1.0, 1.0]), (None, [2.0, 0.0, 1.0]), (40, None), (41, [1.0, None, 0.0]), (42, [nan, 0.0, 0.0]), (43, [inf, 0.0, 0.0]), (60, [1.0, 2.0]), (61, [3.0, 4.0]), (80, []), (100, [1e6, -1e6, 3e5])]
     df = spark.createDataFrame([(*r, 1) for r in data], "vec_id long, embedding array<float>, score int")
-    got = sorted(rows(topk.top_k(topk.quantised(df, 64), "vec_id % 20 = 0", 4), "query", "rank", "vec_id", "score"), key=str)
+    got = sorted(rows(topk.top_k(topk.quantised(df, 64), "vec_id % 20 = 0", 4), "query_id", "rank", "vec_id", "score"), key=str)
     usable = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int).tolist()) for i, v in data if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     low = -(2**63)
     want = brute.top([(low if i is None else i, v) for i, v in usable], 4, lambda i: i != low and i % 20 == 0)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wxspark.llm import chat, licenses, minhash, mixing, packing, secret_ledger, simhash, token_files, topk, toxicity
+from wxspark.llm import chat, hard_negatives, licenses, merkle, minhash, mixing, packing, quality_rules, secret_ledger, simhash, token_files, topk, toxicity
 from wxspark.llm.common import table
 from wxspark.llm.oracles import ORACLES  # noqa: F401
 from wxspark.session import scratch
@@ -64,6 +64,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_best_fit_packing, op2_chat_tool_calls, op3_secret_ledger, op4_toxicity, op5_simhash, op6_exact_topk,
-        op7_minhash, op8_entropy_mixing, op9_licenses, op10_token_files, pipeline,
+        op7_minhash, op8_entropy_mixing, op9_licenses, op10_token_files, op11_quality_rules,
+        op12_hard_negatives, op13_merkle_manifest, pipeline,
     )
 }
 

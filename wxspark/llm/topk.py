@@ -91,7 +91,7 @@ def quantised(vectors: DataFrame, scale: float, vec_id: str = "vec_id", vector:
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
-    """(query, rank, vec_id, score) for every row of ``vectors`` (vec_id, v) that meets the SQL condition ``is_query``.
+    """(query_id, rank, vec_id, score) for every row of ``vectors`` (vec_id, v) that meets the SQL condition ``is_query``.
 
     Candidates are all rows of the same length but the query's own row; fewer than k if there are fewer. Ties go to the smaller
     vec_id. Products are exact as long as they fit 64 bits. Rows that repeat a vec_id are rows of their own; a null vec_id
@@ -164,4 +164,4 @@ def top_k(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
     order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     missing = F.lit(-(2**63))
-    return ranked.select(F.nullif("query", missing).alias("query"), "rank", F.nullif("vec_id", missing).alias("vec_id"), "score")
+    return ranked.select(F.nullif("query", missing).alias("query_id"), "rank", F.nullif("vec_id", missing).alias("vec_id"), "score")
