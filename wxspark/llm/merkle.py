@@ -68,43 +68,40 @@ def parents(nodes: DataFrame, fanout: int) -> DataFrame:
     return out.select(*nodes.columns, side(True).alias("before"), side(False).alias("after"))
 
 
-def climbed(leaves: DataFrame, fanout: int = 2) -> list[DataFrame]:
-    """All levels of all trees, leaves first, each (tree, pos, n, digest, before, after); a tree's last level is its row with n = 1.
-
-    Further columns of ``leaves`` stay on the first level.
+def climbed(leaves: DataFrame, fanout: int = 2) -> list[tuple[DataFrame | None, DataFrame]]:
+    """All levels of all trees, leaves first: the nodes that have a parent (tree, pos, n, digest, before, after), None on the last level,
+    and the roots (tree, pos, n, digest). Further columns of ``leaves`` stay on the first level.
     """
     levels, nodes = [], leaves
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
         level = stored(parents(nodes.where("n > 1"), fanout), "merkle")
-        done = nodes.where("n = 1").select("*", F.lit(b"").alias("before"), F.lit(b"").alias("after"))
-        levels.append(level.unionByName(done))
+        levels.append((level, nodes.where("n = 1")))
         first = level.where(F.pmod("pos", F.lit(fanout)) == 0)
         nodes = first.select("tree", F.expr(f"pos div {fanout}").alias("pos"), F.expr(f"(n + {fanout - 1}) div {fanout}").alias("n"), combined(F.concat("digest", "after")).alias("digest"))
         most = -(-most // fanout)
-    levels.append(nodes.select("*", F.lit(b"").alias("before"), F.lit(b"").alias("after")))
-    return levels
+    return [*levels, (None, nodes)]
 
 
-def tops(levels: list[DataFrame]) -> DataFrame:
+def tops(levels: list[tuple[DataFrame | None, DataFrame]]) -> DataFrame:
     """(tree, digest) of the root of every tree."""
-    return reduce(DataFrame.unionByName, [x.where("n = 1").select("tree", "digest") for x in levels])
+    return reduce(DataFrame.unionByName, [roots.select("tree", "digest") for _, roots in levels])
 
 
-def paths(levels: list[DataFrame], above: DataFrame, fanout: int = 2) -> DataFrame:
+def paths(levels: list[tuple[DataFrame | None, DataFrame]], above: DataFrame, fanout: int = 2) -> DataFrame:
     """The first level's columns but n, before and after, with the tree's root as ``subroot`` and ``path``, an array of (before, after)
     from the leaf up. ``above`` (tree, path) is where the path of each tree's root goes on.
     """
     step = F.array(F.struct("before", "after"))
     below = None
-    for height, level in enumerate(reversed(levels)):
-        own = [c for c in level.columns if c not in ("n", "before", "after")]
-        roots = level.where("n = 1").join(above, "tree").select(*own, F.col("digest").alias("subroot"), "path")
-        if below is None:
+    for height, (level, ended) in enumerate(reversed(levels)):
+        own = [c for c in ended.columns if c != "n"]
+        roots = ended.join(above, "tree").select(*own, F.col("digest").alias("subroot"), "path")
+        if level is None:
             below = roots
             continue
         up = below.select(F.col("tree").alias("_t"), F.col("pos").alias("_p"), "subroot", "path")
-        inner = level.where("n > 1").withColumn("_up", F.expr(f"pos div {fanout}"))
+        inner = level.withColumn("_up", F.expr(f"pos div {fanout}"))
         inner = inner.join(up, (F.col("tree") == F.col("_t")) & (F.col("_up") == F.col("_p")))
         below = inner.select(*own, "subroot", F.concat(step, "path").alias("path")).unionByName(roots)
         if height % STRIDE == 0:

@@ -26,73 +26,127 @@ MAGIC = b"WXS8B002"
 BLOCK = 128
 #: Ids per word by selector; the width of each is sixty divided by it. The last one is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
+#: Bits of all numbers of up to sixteen bits.
+WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+#: Blocks packed at once; what they need besides fits into a processor's cache.
+PACKED_BLOCKS = 2048
 #: Ids after which a task starts its next file.
 FILE_IDS = 4_000_000
+#: Bytes of text encoded at once, and parts of text a worker remembers.
+SLICE_BYTES, REMEMBERED = 8 << 20, 500_000
+
+
+def bit_widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, 0 for 0."""
+    if ids.max(initial=0) < len(WIDTHS):
+        return WIDTHS[ids]
+    out, left = np.zeros(ids.shape, np.uint8), ids.astype(np.uint64)
+    for step in (32, 16, 8, 4, 2, 1):
+        high = left >> np.uint64(step)
+        more = high > 0
+        out[more] += step
+        left = np.where(more, high, left)
+    return out + (left > 0).astype(np.uint8)
+
+
+def window_maxima(width: np.ndarray) -> dict[int, np.ndarray]:
+    """For each count the widest of as many ids from each place of a block on; ``width`` has COUNTS[0] zeros after each block.
+
+    Windows of a power of two come from two of half their length, all others from two overlapping ones.
+    """
+    size, out, made = 1, {}, width
+    for count in sorted(COUNTS):
+        while 2 * size <= count:
+            made = np.maximum(made[:, :-size], made[:, size:])
+            size *= 2
+        at = count - size
+        out[count] = np.maximum(made[:, :BLOCK], made[:, at : at + BLOCK]) if at else made[:, :BLOCK]
+    return out
 
 
 def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all ids and the first word of each block, with the number of words at the end."""
-    n = len(ids)
-    blocks = -(-n // BLOCK)
-    if not n:
-        return np.empty(0, "<u8"), np.zeros(1, "<u8")
-    grid = np.zeros((blocks, BLOCK + COUNTS[0]), np.uint64)
-    padded = np.zeros(blocks * BLOCK, np.uint64)
-    padded[:n] = ids
-    grid[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    width = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)  # bits of each value; ids stay below 2**53
-    # take[b, p]: how many ids the word that starts at p holds; wider words are tried first and overwritten.
+    parts = [_pack_blocks(ids[i : i + PACKED_BLOCKS * BLOCK]) for i in range(0, len(ids), PACKED_BLOCKS * BLOCK)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *[p[1] for p in parts]])
+    return np.concatenate([np.empty(0, "<u8"), *[p[0] for p in parts]]).astype("<u8", copy=False), np.cumsum(sizes).astype("<u8")
+
+
+def _pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of some blocks and the number of words of each block."""
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
+    width = np.zeros((blocks, BLOCK + COUNTS[0]), np.uint8)
+    padded = np.zeros(blocks * BLOCK, np.uint8)
+    padded[:n] = bit_widths(ids)
+    width[:, :BLOCK] = padded.reshape(blocks, BLOCK)
+    # take[b, p]: how many ids the word that starts at p holds; words of fewer ids are tried first and overwritten.
     take = np.ones((blocks, BLOCK), np.uint8)
-    widest = width[:, :BLOCK].copy()
-    for k in range(1, COUNTS[0]):
-        np.maximum(widest, width[:, k : k + BLOCK], out=widest)
-        if k + 1 in COUNTS:
-            take[widest <= 60 // (k + 1)] = k + 1
+    for count, widest in window_maxima(width).items():
+        np.copyto(take, count, where=widest <= 60 // count)
+    take = take.reshape(-1)
     size = np.full(blocks, BLOCK)
     size[-1] = n - (blocks - 1) * BLOCK
-    at, alive, found = np.zeros(blocks, np.int64), np.arange(blocks), []
+    at = np.arange(blocks) * BLOCK
+    end, alive, found = at + size, np.arange(blocks), []
     while len(alive):
-        pos = at[alive]
-        k = take[alive, pos]
-        found.append((alive, pos, k))
-        at[alive] = pos + k
-        alive = alive[at[alive] < size[alive]]
-    block = np.concatenate([f[0] for f in found])
-    pos = np.concatenate([f[1] for f in found])
-    k = np.concatenate([f[2] for f in found])
-    order = np.argsort(block * BLOCK + pos, kind="stable")
-    block, pos, k = block[order], pos[order], k[order]
-    words = np.zeros(len(k), np.uint64)
+        k = take[at]
+        found.append((alive, at, k))
+        at = at + k
+        more = at < end[alive]
+        alive, at = alive[more], at[more]
+    # The n-th word of a block was found in the n-th step.
+    per_block = np.zeros(blocks, np.int64)
+    for some, _, _ in found:
+        per_block[some] += 1
+    start = np.cumsum(per_block) - per_block
+    pos, held = np.empty(per_block.sum(), np.int64), np.empty(per_block.sum(), np.uint8)
+    for step, (some, places, k) in enumerate(found):
+        pos[start[some] + step], held[start[some] + step] = places, k
+    room = np.repeat(end, per_block) - pos
+    wide = np.zeros(blocks * BLOCK + COUNTS[0], np.uint64)
+    wide[:n] = ids
+    words = np.zeros(len(pos), np.uint64)
     for selector, count in enumerate(COUNTS):
-        rows = np.flatnonzero(k == count)
-        word = np.full(len(rows), selector << 60, np.uint64)
-        for j in range(count):
-            word |= grid[block[rows], pos[rows] + j] << np.uint64(j * (60 // count))
-        words[rows] = word
-    starts = np.searchsorted(block, np.arange(blocks + 1))
-    return words.astype("<u8"), starts.astype("<u8")
+        # The last word of a block may hold fewer ids; past the block's end stand those of the next one.
+        for rows, filled in _by_room(held == count, room, count):
+            word = np.full(len(rows), selector << 60, np.uint64)
+            for j in range(filled):
+                word |= wide[pos[rows] + j] << np.uint64(j * (60 // count))
+            words[rows] = word
+    return words, per_block
+
+
+def _by_room(chosen: np.ndarray, room: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The chosen words with the number of ids each really holds: ``count`` for nearly all of them."""
+    rows = np.flatnonzero(chosen)
+    filled = np.minimum(room[rows], count)
+    for k in [count] if (filled == count).all() else np.unique(filled).tolist():
+        yield rows[filled == k], k
 
 
 def unpack_words(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` ids in ``words``."""
-    counts = np.array(COUNTS, np.int64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    k = counts[selector]
+    out, starts = np.empty(n, np.uint64), starts.astype(np.int64)
+    for b in range(0, len(starts) - 1, PACKED_BLOCKS):
+        some = starts[b : b + PACKED_BLOCKS + 1]
+        _unpack_blocks(words[some[0] : some[-1]], some - some[0], out[b * BLOCK : (b + PACKED_BLOCKS) * BLOCK])
+    return out
+
+
+def _unpack_blocks(words: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+    """The ids of some blocks into ``out``."""
+    selector = (words >> np.uint64(60)).astype(np.uint8)
+    k = np.array(COUNTS, np.int64)[selector]
     total = np.concatenate([[0], np.cumsum(k)])
-    starts = starts.astype(np.int64)
     # Where each word's ids go: from its block's first id on. The last word of a block may hold padding.
     block = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     to = block * BLOCK + total[:-1] - total[starts[:-1]][block]
-    end = np.minimum((block + 1) * BLOCK, n)
-    out = np.empty(n, np.uint64)
+    room = np.minimum((block + 1) * BLOCK, len(out)) - to
     for s, count in enumerate(COUNTS):
-        rows = np.flatnonzero(selector == s)
         mask = np.uint64((1 << (60 // count)) - 1)
-        word, first, last = words[rows], to[rows], end[rows]
-        for j in range(count):
-            ok = first + j < last
-            out[first[ok] + j] = word[ok] >> np.uint64(j * (60 // count)) & mask
-    return out
+        for rows, filled in _by_room(selector == s, room, count):
+            word, first = words[rows], to[rows]
+            for j in range(filled):
+                out[first + j] = word >> np.uint64(j * (60 // count)) & mask
 
 
 def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -122,7 +176,7 @@ def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` and write them into ``folder``, a shared place that Python and Spark both reach; the manifest.
 
-    Documents go in ascending id order, null ids first, equal ids by text; a null text is empty and holds the end id
+    Documents go in ascending id order, null ids first, equal ids by a hash of the text and the text; a null text is empty and holds the end id
     alone; other columns are not read. An empty table makes a manifest without rows and no file. Manifest: part, seq, file,
     n_docs, n_ids.
     """
@@ -153,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_
 
         for batch in batches:
             names = batch.column(0)
-            for row, ids, n in encoded(batch.column(1), tokenizer, end_id):
+            for row, ids, n in encoded(batch.column(1), tokenizer, end_id, SLICE_BYTES, REMEMBERED):
                 held.append((ids, n))
                 owners += names.slice(row, len(n)).to_pylist()
                 size += len(ids)
@@ -164,7 +218,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_
             yield flush()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash spreads rows that share an id, or have none, over tasks.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     made = dealt.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long")
     made.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(made.schema).parquet(f"{folder}/manifest")

@@ -47,6 +47,7 @@ class Encoder:
             self.width[i] = len(token)
         for t in spec.get("added_tokens", []):
             self.width[t["id"]] = len(t["content"].encode())
+        self.most_parts = CACHE_PARTS
         self.parts: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
@@ -61,7 +62,7 @@ class Encoder:
             some = parts[i : i + JOINED_PARTS]
             blob = self.whole([" " + " ".join(some)])[0]
             ends = np.cumsum(self.width[np.frombuffer(blob, "<u4")])
-            want = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in some), np.int64, len(some)))
+            want = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy().astype(np.int64) + 1)
             at = np.searchsorted(ends, want)
             if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == want).all():
                 cuts = [0, *(4 * (at + 1)).tolist()]
@@ -70,12 +71,28 @@ class Encoder:
                 out += self.whole([" " + p for p in some])
         return out
 
-    def _known(self, cache: dict[str, bytes], keys: list[str], wanted: list[bool] | None, make) -> list[bytes]:
-        got = [cache.get(k) for k in keys]
-        missing = [i for i, v in enumerate(got) if v is None and (wanted is None or wanted[i])]
+    @staticmethod
+    def _starts_plain(strings: pa.Array, parts: list[str]) -> np.ndarray:
+        """Whether each part is there and does not start with white space."""
+        size = pc.binary_length(strings).to_numpy()
+        first = np.zeros(len(parts), np.uint8)
+        offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(parts)]
+        if strings.buffers()[2] is not None and strings.buffers()[2].size:
+            data = np.frombuffer(strings.buffers()[2], np.uint8)
+            first[size > 0] = data[offsets[size > 0]]
+        plain = (first > 0x20) & (first < 0x80)
+        for i in np.flatnonzero(~plain & (size > 0)).tolist():
+            plain[i] = not parts[i][0].isspace()
+        return plain
+
+    def _known(self, cache: dict[str, bytes], keys: list[str], wanted: np.ndarray | None, make) -> list[bytes]:
+        got = list(map(cache.get, keys))
+        missing = [i for i, v in enumerate(got) if v is None]
+        if wanted is not None:
+            missing = [i for i in missing if wanted[i]]
         for i, v in zip(missing, make([keys[i] for i in missing]) if missing else []):
             got[i] = v
-            if len(cache) < CACHE_PARTS:
+            if len(cache) < self.most_parts:
                 cache[keys[i]] = v
         return [b"" if v is None else v for v in got]
 
@@ -91,20 +108,23 @@ class Encoder:
         first_at -= first_at[0]
         flat = lists.flatten()
         coded = flat.dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False).copy()
         parts = coded.dictionary.to_pylist()
-        plain = [p != "" and not p[0].isspace() for p in parts]
+        plain = self._starts_plain(coded.dictionary, parts)
         ids = self._known(self.parts, parts, plain, self._after_space)
         ids += self._known(self.firsts, flat.take(pa.array(first_at)).to_pylist(), None, self.whole)
-        odd = ~np.array(plain, bool)[index]
+        odd = ~plain[index]
         odd[first_at] = False
         odd = np.logical_or.reduceat(odd, first_at)
         index[first_at] = len(parts) + np.arange(len(first_at))
-        n = np.fromiter((len(b) >> 2 for b in ids), np.int64, len(ids))
+        n = np.array(list(map(len, ids)), np.int64) >> 2
         starts, pool = np.cumsum(n) - n, np.frombuffer(b"".join(ids), "<u4")
         each = n[index]
         moved = starts[index] - (np.cumsum(each) - each)
-        out = pool[np.repeat(moved, each) + np.arange(each.sum())]
+        # Offsets of one slice fit 32 bits.
+        places = np.repeat(moved.astype(np.int32), each)
+        places += np.arange(len(places), dtype=np.int32)
+        out = pool[places]
         lengths = np.add.reduceat(each, first_at)
         if odd.any():
             ends = np.cumsum(lengths)
@@ -136,11 +156,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         start = stop
 
 
-def encoded(texts: pa.Array, path: str, end_id: int | None):
-    """(start row, ids, lengths) per slice of rows; null is the empty text; ``end_id`` follows every text."""
+def encoded(texts: pa.Array, path: str, end_id: int | None, most: int = SLICE_BYTES, parts: int = CACHE_PARTS):
+    """(start row, ids, lengths) per slice of rows; null is the empty text; ``end_id`` follows every text.
+
+    ``most`` is the size of a slice in bytes and ``parts`` what the worker remembers: longer slices and more parts cost memory and save time.
+    """
     e = encoder(path)
+    e.most_parts = parts
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    for start, stop in slices(texts):
+    for start, stop in slices(texts, most):
         ids, n = e.encode(texts.slice(start, stop - start))
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
