@@ -32,6 +32,8 @@ HEADLINE = [
     "join_band",
     "search_locations",
     "fc_forecast",
+    "fc_forecast_all",
+    "mdl_window_moments",
     "st_panel",
 ]
 

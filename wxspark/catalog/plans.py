@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from wxspark.catalog import features as S
@@ -9,10 +11,11 @@ from wxspark.catalog.base import query
 from wxspark.catalog.models import PRED, RULES
 from wxspark.catalog.places import HEALTH, provider_log
 from wxspark.catalog.series import AR1_FIT, LAST
-from wxspark.operators import features, forest, fuzzy, timeline
-from wxspark.plans import forecast, pipeline
+from wxspark.operators import features, forest, fuzzy, timeline, trees, windowed
+from wxspark.plans import families, forecast, pipeline
 from wxspark.schema import BASE, TARGETS
 from wxspark.session import scratch, stored
+from wxspark.sources import commits
 from wxspark.sources.panel import forecast_log, located, panel, panel_table
 from wxspark.streaming import jobs
 
@@ -197,6 +200,44 @@ def fc_train(spark, path):
     return forecast.fc_train(located(panel_table(spark, path)), targets=["temperature"])
 
 
+# ---- five families, trained, committed and read back (tests/test_families.py compares them with plain loops) ----------
+
+
+def committed(spark, path):
+    """Every family on every target, as one committed version: 100 trees of 10 levels, windows of 168 rows."""
+    cfg = families.FamilyConfig(forest=forest.ForestConfig(trees=100, depth=10))
+    obs, root = stored(located(panel_table(spark, path))), scratch(spark, "models")
+    families.save(families.train(obs, cfg), root, "v1", datetime(2024, 2, 1), cfg)
+    return obs, root, cfg
+
+
+@query("fc_train_families", keys="station model_type version targets is_trained", ints="training_rows", nums="mae rmse")
+def fc_train_families(spark, path):
+    _, root, _ = committed(spark, path)
+    return commits.read_all(spark, root, "registry").withColumn("targets", F.concat_ws(",", "targets"))
+
+
+@query("fc_forecast_families", keys="station ts", ints="step families", nums="temperature humidity pressure wind_speed lower upper confidence")
+def fc_forecast_families(spark, path):
+    obs, root, cfg = committed(spark, path)
+    return families.forecast(obs, families.load(spark, root), 24, cfg).withColumn("families", F.size("contributions"))
+
+
+@query("mdl_window_moments", keys="station ts target", nums="actual prediction")
+def mdl_window_moments(spark, path):
+    """The last 168 rows, as in the longest training window, without a copied row."""
+    obs = panel_table(spark, path)
+    models = windowed.fit_windows(obs, 168)
+    return windowed.predicted(obs, models, 168)
+
+
+@query("int_tree_table", keys="station ts target", nums="prediction lower upper")
+def int_tree_table(spark, path):
+    train = forest_frame(spark, path, TARGETS)
+    models = forest.mdl_forest(train, TARGETS, forest.ForestConfig(trees=100, depth=6))
+    return trees.tree_spread(train, stored(trees.node_table(models, spark), "nodes"))
+
+
 # ---- streams ------------------------------------------------------------------------------------------------------
 
 

@@ -50,11 +50,15 @@ def training_frame(
 def _forest(cfg: ForestConfig, label: str) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=cfg.trees, maxDepth=cfg.depth, minInstancesPerNode=cfg.min_leaf,
-        featureSubsetStrategy=cfg.subset, seed=cfg.seed,
+        featureSubsetStrategy=cfg.subset, seed=cfg.seed, cacheNodeIds=True, maxMemoryInMB=1024,
     )
 
 
 def mdl_forest(train: DataFrame, targets: Sequence[str] = tuple(TARGETS), cfg: ForestConfig = ForestConfig()) -> dict:
+    """A forest per target. Every level of all trees is a pass over the rows, so they are spread over all cores first."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:
+        train = train.repartition(cores)
     return {t: _forest(cfg, f"label_{t}").fit(train) for t in targets}
 
 

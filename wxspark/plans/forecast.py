@@ -48,15 +48,20 @@ def fc_forecast(
     """
     shape = shape or measure(obs)
     points = model_points(obs, hours, targets=targets, ar=ar, models=models, shape=shape)
-    points = points.withColumn("ts", F.col("last_ts") + F.make_dt_interval(hours=F.col("step")))
     if weights is None:
         each = F.explode(F.array(*[F.lit(m) for m in models]))
         weights = E.en_equal(obs.select("station").distinct().withColumn("model", each))
-    combined = E.en_interval(points, weights, by=("station", "ts", "step", "target"))
+    return combined(points, weights, bounds=bounds, targets=targets, shape=shape)
+
+
+def combined(points: DataFrame, weights: DataFrame, *, bounds: DataFrame | None = None, targets: Sequence[str] = tuple(TARGETS), shape: Shape | None = None) -> DataFrame:
+    """The forecast from station, last_ts, step, target, model and prediction of all models."""
+    points = points.withColumn("ts", F.col("last_ts") + F.make_dt_interval(hours=F.col("step")))
+    mixed = E.en_interval(points, weights, by=("station", "ts", "step", "target"))
     if bounds is not None:
-        combined = intervals.int_bounds(combined.drop("lower", "upper"), bounds, shape=shape)
+        mixed = intervals.int_bounds(mixed.drop("lower", "upper"), bounds, shape=shape)
     pick = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c)))
-    wide = combined.groupBy("station", "ts", "step").agg(
+    wide = mixed.groupBy("station", "ts", "step").agg(
         *[F.coalesce(pick(t, "prediction"), F.lit(TARGET_DEFAULTS[t])).alias(t) for t in TARGETS],
         pick(targets[0], "lower").alias("lower"),
         pick(targets[0], "upper").alias("upper"),

@@ -52,6 +52,15 @@ def _project(wide, params, keep, columns: dict[str, str], station, shape) -> Dat
     return j.selectExpr(*[f"`{k}`" for k in keep], *[f"{sql} AS `{c}`" for c, sql in columns.items()])
 
 
+def cleaned(rows: DataFrame, params: DataFrame, *, station=STATION, ts=TS, shape: Shape | None = None) -> DataFrame:
+    """Impute and clip with fitted parameters, in physical units; all columns stay. Stations without parameters go."""
+    shape = shape or measure(rows, station)
+    have = set(params.columns)
+    numeric = set(features.numeric_features(rows, exclude=[station, ts]))
+    out = {c: _cleaned_sql(c, have) if c in numeric else f"`{c}`" for c in rows.columns if c not in (station, ts)}
+    return _project(rows, params, [station, ts], out, station, shape)
+
+
 def apply_pipeline(wide: DataFrame, params: DataFrame, *, station=STATION, ts=TS, shape: Shape | None = None) -> DataFrame:
     """Impute, clip and scale with fitted parameters, in one projection over one join."""
     shape = shape or measure(wide, station)
