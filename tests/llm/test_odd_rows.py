@@ -317,3 +317,21 @@ def test_stages(spark, odd, empty, tmp_path):
                 assert out.columns == odd.columns and out.dtypes == odd.dtypes
                 docs = out
     assert out.count() == 0
+
+
+def test_stages_leave_columns_alone(spark, tmp_path):
+    """User columns called like anything a stage uses inside come back with their own values."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    inner = ["_content", "_dup_id", "_dup_content", "n", "stays", "_blob", "_found", "_found_blob", "_secrets", "_masked", "_mix_size", "_mix_id", "_mix_copy", "_mix_copies",
+             "_tox_score", "_tox_margin", "features", "label", "size", "copies", "fingerprint", "kept__0", "blob", "found", "odd name", "dotted.name"]
+    data = [(i, f"text {i} with words {i * 7} and password=abcdef{i}", "en", f"s{i % 2}", 30, *[f"{c}-{i}" for c in inner]) for i in range(8)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", "lang", "source", "n_chars", *inner])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, str(tmp_path)), name)
+        if name != "packing":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            for r in out.collect():
+                assert all(r[c] == f"{c}-{r.doc_id}" for c in inner)
+            docs = out
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and not out.isEmpty()

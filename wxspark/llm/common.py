@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sheltered(docs: DataFrame, own: Sequence[str], run: Callable[[DataFrame], DataFrame], adds: Sequence[str] = ()) -> DataFrame:
+    """``run`` on ``docs`` whose columns other than ``own`` carry neutral names, so that none meets a name that ``run`` uses inside.
+
+    The result has the columns of ``docs`` under their own names and the new columns ``adds``, which replace columns called the same.
+    """
+    names = {c: c if c in own else f"kept__{i}" for i, c in enumerate(docs.columns)}
+    out = run(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in adds], *adds)
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words of a text, 0 for null. Every word becomes one mark, what is left of the text goes."""
     marked = F.regexp_replace(F.col(text) if isinstance(text, str) else text, WORD, "x")

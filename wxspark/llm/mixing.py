@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wxspark.llm.common import salted_ranks, word_count
+from wxspark.llm.common import salted_ranks, sheltered, word_count
 from wxspark.session import cut, stored
 
 #: Weights by rank of the source, repeating.
@@ -140,7 +140,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
 
 
 def copied(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it is taken, documents that are not taken left out."""
+    """The mix itself: every row of ``docs`` as many times as it is taken, documents that are not taken left out; all columns as they were."""
+    return sheltered(docs, ("doc_id", "source", "text"), lambda rows: _copied(rows, share, most, weights))
+
+
+def _copied(docs: DataFrame, share: float, most: int, weights: tuple[int, ...]) -> DataFrame:
     sized = docs.withColumn("_mix_size", word_count(F.col("text").cast("string")))
     units, _ = mix(sized.select("doc_id", "source", F.col("_mix_size").alias("size")), share, most, weights)
     taken = units.where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_words"), "copies")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wxspark.llm.common import sheltered
 from wxspark.session import stored
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
@@ -112,12 +113,18 @@ def findings(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def attach(versions: DataFrame, found: DataFrame, text: str = "text", into: str = "found") -> DataFrame:
-    """All rows of ``versions`` and a column ``into`` with what was found (an empty array where there is nothing)."""
-    rows = versions.withColumn("_blob", content_id(F.col(text).cast("string")))
+    """All rows of ``versions`` and a column ``into`` with what was found (an empty array where there is nothing).
+
+    A column of ``versions`` called ``into`` is replaced; all others stay, whatever their names.
+    """
     empty = F.array().cast(found.schema["found"].dataType)
     renamed = found.select(F.col("blob").alias("_found_blob"), F.col("found").alias("_found"))
-    joined = rows.join(renamed, F.col("_blob") == F.col("_found_blob"), "left")
-    return joined.withColumn(into, F.coalesce("_found", empty)).drop("_blob", "_found_blob", "_found")
+
+    def run(rows: DataFrame) -> DataFrame:
+        joined = rows.withColumn("_blob", content_id(F.col(text).cast("string"))).join(renamed, F.col("_blob") == F.col("_found_blob"), "left")
+        return joined.withColumn(into, F.coalesce("_found", empty))
+
+    return sheltered(versions, (text,), run, adds=(into,))
 
 
 def masked(text: str = "text", found: str = "found", mark: str = "[SECRET]") -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wxspark.llm.common import connected, spaced, utf8
+from wxspark.llm.common import connected, sheltered, spaced, utf8
 from wxspark.session import stored
 
 SEED = 42
@@ -171,8 +171,12 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, bands: int =
 def one_per_component(docs: DataFrame, shingle: int = 3, radius: int = 3, bands: int = 2) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest doc_id stays.
 
-    If only null ids are there, one of those rows stays; of rows that repeat id and text, one stays. All columns are kept.
+    If only null ids are there, one of those rows stays; of rows that repeat id and text, one stays. All columns are kept, whatever their names.
     """
+    return sheltered(docs, ("doc_id", "text"), lambda rows: _one_per_component(rows, shingle, radius, bands))
+
+
+def _one_per_component(docs: DataFrame, shingle: int, radius: int, bands: int) -> DataFrame:
     classes = stored(components(docs, shingle, radius, bands).select("doc_id", "content", "class_fingerprint"), "components")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
     best = classes.groupBy("class_fingerprint").agg(F.min(key).alias("best"))

@@ -18,6 +18,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wxspark.llm.common import sheltered
 from wxspark.session import stored
 
 #: Most labelled rows that trees and calibration may use, taken by a hash of the id.
@@ -175,10 +176,11 @@ def held_out(doc_id: str):
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with a column SCORE, learned from the rows of ``labels`` (doc_id, toxic) that are not held out.
 
-    Null and empty texts are scored as texts without any feature. Other columns are kept and not looked at.
+    Null and empty texts are scored as texts without any feature. Other columns are kept, whatever their names, and not looked at; one called
+    SCORE is replaced.
     """
     learnable = labels.where(~held_out("doc_id")).select("doc_id", F.col("toxic").alias("label"))
-    return train(docs, learnable, sample).score(docs)
+    return sheltered(docs, ("doc_id", "text"), train(docs, learnable, sample).score, adds=(SCORE,))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
