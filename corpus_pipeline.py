@@ -10,34 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wxspark.llm import mixing, packing, secret_ledger, simhash, toxicity
-from wxspark.llm.common import table
+from wxspark.llm.common import sheltered, table
 from wxspark.llm.queries import CAPACITY, END_ID, TOKENIZER
 from wxspark.session import scratch, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; all others stay as they are."""
-    out = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return out.where(F.col(toxicity.SCORE) < 0.5).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return sheltered(docs, ("doc_id", "text"), lambda rows: toxicity.scored(rows, labels).where(F.col(toxicity.SCORE) < 0.5))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return simhash.one_per_component(docs, shingle=3, radius=3).select(*docs.columns)
+    return simhash.one_per_component(docs, shingle=3, radius=3)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets found in a text are replaced by a mark; documents without any stay as they are."""
     found = secret_ledger.findings(secret_ledger.scan(docs, scratch(spark, "ledger")))
-    rows = secret_ledger.attach(docs, found, into="_secrets")
-    # The masked text is a column of its own first: next to an alias "text", the lambdas would read the alias.
-    rows = rows.withColumn("_secrets_masked", secret_ledger.masked("text", "_secrets"))
-    text = F.col("_secrets_masked")
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        size = F.when(F.size("_secrets") > 0, F.length(text)).otherwise(F.col("n_chars"))
-        changed["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+
+    def mask(rows: DataFrame) -> DataFrame:
+        rows = secret_ledger.attach(rows, found, into="_secrets")
+        # The masked text is a column of its own first: next to an alias "text", the lambdas would read the alias.
+        rows = rows.withColumn("_masked", secret_ledger.masked("text", "_secrets"))
+        if "n_chars" in rows.columns:
+            size = F.when(F.size("_secrets") > 0, F.length("_masked")).otherwise(F.col("n_chars"))
+            rows = rows.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+        return rows.withColumn("text", F.col("_masked"))
+
+    return sheltered(docs, ("doc_id", "text", "n_chars"), mask)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
