@@ -11,7 +11,7 @@ from wxspark.catalog.base import query
 from wxspark.catalog.models import PRED, RULES
 from wxspark.catalog.places import HEALTH, provider_log
 from wxspark.catalog.series import AR1_FIT, LAST
-from wxspark.operators import features, forest, fuzzy, timeline, trees, windowed
+from wxspark.operators import features, forest, fuzzy, innovations, timeline, trees, windowed
 from wxspark.plans import families, forecast, pipeline
 from wxspark.schema import BASE, TARGETS
 from wxspark.session import scratch, stored
@@ -238,6 +238,49 @@ def int_tree_table(spark, path):
     return trees.tree_spread(train, stored(trees.node_table(models, spark), "nodes"))
 
 
+# ---- innovations and seasonal orders ----------------------------------------------------------------------------------
+
+LAGGED = "SELECT station, ts, temperature AS y, lag(temperature) OVER w AS x, row_number() OVER w AS rn FROM panel WINDOW w AS (PARTITION BY station ORDER BY ts)"
+
+
+@query(
+    "innovations_scan",
+    f"WITH RECURSIVE r AS ({LAGGED}), e AS (SELECT station, ts, rn, (y-15)-0.5::DOUBLE*(x-15) AS e FROM r WHERE rn = 2 UNION ALL"
+    " SELECT r.station, r.ts, r.rn, (r.y-15)-0.5::DOUBLE*(r.x-15)-0.4::DOUBLE*e.e FROM e JOIN r ON r.station = e.station AND r.rn = e.rn + 1) SELECT station, ts, e FROM e",
+    keys="station ts", nums="e",
+)
+def innovations_scan(spark, path):
+    """Innovations of an ARMA(1, 1) with given parameters, in blocks of 100 rows."""
+    obs = panel_table(spark, path)
+    order = innovations.Order(1, 0, 1)
+    c, ar, ma = order.polynomials([15.0, 0.5, 0.4])
+    fixed = obs.select("station").distinct().withColumns({"params": F.array(F.lit(c)), "ar": F.array(*map(F.lit, ar.tolist())), "ma": F.array(*map(F.lit, ma.tolist()))})
+    return innovations.residuals(obs, "temperature", fixed, order, block=100)
+
+
+@query(
+    "mdl_css_ar", f"SELECT station, count(*) AS n, regr_slope(y, x) AS phi, regr_intercept(y, x)/(1-regr_slope(y, x)) AS level FROM ({LAGGED}) WHERE x IS NOT NULL GROUP BY station",
+    keys="station", ints="n", nums="phi level", digits=3,
+)
+def mdl_css_ar(spark, path):
+    fits = innovations.fit_orders(panel_table(spark, path), "temperature", [innovations.Order(1)])
+    return fits.select("station", "n", F.col("params")[0].alias("level"), F.col("params")[1].alias("phi"))
+
+
+@query("mdl_css_arma", keys="station", ints="n", nums="c phi theta season_phi season_theta sigma", digits=2)
+def mdl_css_arma(spark, path):
+    """(1, 0, 1)(1, 0, 1) with a day as season, by Gauss-Newton; tests/test_innovations.py has plain loops."""
+    fits = innovations.fit_orders(panel_table(spark, path), "temperature", [innovations.Order(1, 0, 1, 1, 0, 1, 24)])
+    names = ("c", "phi", "theta", "season_phi", "season_theta")
+    return fits.select("station", "n", "sigma", *[F.col("params")[i].alias(n) for i, n in enumerate(names)])
+
+
+@query("mdl_order_seasonal", keys="station", ints="p d q sp sd sq n", nums="sigma", digits=2)
+def mdl_order_seasonal(spark, path):
+    grid = innovations.order_grid(p=(0, 1), q=(0, 1), period=24)
+    return innovations.best_seasonal(innovations.fit_orders(panel_table(spark, path), "temperature", grid))
+
+
 # ---- streams ------------------------------------------------------------------------------------------------------
 
 
