@@ -308,7 +308,7 @@ def st_ingest(spark, path):
 )
 def st_rules(spark, path):
     labels = fuzzy.prepare(panel_table(spark, path))[1].select("station", "ts", "label")
-    return jobs.rule_counts(jobs.in_two_parts(labels, F.dayofmonth("ts") <= 12, jobs.update_rules, ["waiting", "counts"], "st-rules"))
+    return jobs.rule_counts(jobs.in_two_parts(labels, F.dayofmonth("ts") <= 12, jobs.st_rules, ["station"], "st-rules"))
 
 
 @query(
@@ -318,7 +318,8 @@ def st_rules(spark, path):
 )
 def st_errors(spark, path):
     log = forecast_log(panel(spark, path)).select("station", "model", "ts", F.abs(F.col("actual") - F.col("prediction")).alias("abs_error"))
-    return jobs.in_two_parts(log, F.dayofmonth("ts") <= 28, jobs.update_errors(), ["errors"], "st-errors")["errors"]
+    state = jobs.in_two_parts(log, F.dayofmonth("ts") <= 28, jobs.st_errors, ["station", "model"], "st-errors")
+    return jobs.recent_errors(state, log.schema["ts"].dataType.simpleString())
 
 
 @query(
@@ -326,5 +327,6 @@ def st_errors(spark, path):
     ctes=HEALTH,
 )
 def st_provider_health(spark, path):
-    out = jobs.in_two_parts(provider_log(spark, path), F.dayofmonth("ts") <= 15, jobs.update_health, ["health", "failures"], "st-health")
-    return jobs.health_status(out["health"])
+    log = provider_log(spark, path)
+    state = jobs.in_two_parts(log, F.dayofmonth("ts") <= 15, jobs.st_provider_health, ["provider"], "st-health")
+    return jobs.health_status(state, ts_type=log.schema["ts"].dataType.simpleString())

@@ -1,25 +1,24 @@
 """Structured Streaming versions of the stateful operators.
 
-Windows and duplicates use the engine's own state. Folds that must see rows in order (rules, recent errors, provider
-health) run per micro-batch as ordinary DataFrame operators on the batch and a small state table, so a key that holds a
-third of a batch is still spread over tasks. Each batch writes its state under its own number, which makes a repeated
-batch harmless.
+All state is the engine's own: windows and duplicates through its operators, folds that compare event times (rules, recent errors,
+provider health) as keyed states of bounded size. Where a fold allows it, tasks combine their rows before the shuffle, so a key that
+holds a third of a batch reaches its state as a few rows. A batch that is run again leaves the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wxspark.operators import split, timeline
-from wxspark.operators.timeline import measure
 from wxspark.session import scratch
 from wxspark.sources.panel import hour_sums, to_observations
 
-Tables = dict[str, DataFrame]
-
 
 def read_events_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
     """The events table as a file stream with an event-time column."""
@@ -51,141 +50,204 @@ def st_ingest(observations: DataFrame, *, keys=("station", "obs_ts"), ts: str =
     return observations.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-# ---- ordered folds ------------------------------------------------------------------------------------------------
+# ---- folds in the engine's state ----------------------------------------------------------------------------------
+
 
+def run_changes(changes: DataFrame, path: str, *, checkpoint: str) -> DataFrame:
+    """Run a stateful stream on what is available; the changed keys of each batch are appended to a table at ``path``.
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_done/_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith("batch="))
+    The state itself lies in the engine's state store under ``checkpoint``. The folder of a batch carries the batch's number and is written
+    whole, so a batch that is run again leaves the same rows. ``newest`` reads the last word on every key.
+    """
+    spark = changes.sparkSession
+    schema = changes.schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def state_tables(spark: SparkSession, path: str, names: list[str], before: int | None = None) -> Tables | None:
-    """State after the newest complete batch (older than ``before``)."""
-    have = [b for b in _batches(spark, path) if before is None or b < before]
-    return {n: spark.read.parquet(f"{path}/batch={have[-1]}/{n}") for n in names} if have else None
+    q = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
 
 
-def fold_batches(
-    stream: DataFrame, update: Callable[[DataFrame, Tables | None], Tables], path: str, names: list[str], checkpoint: str
-) -> Tables | None:
-    """Run ``update(batch, state) -> state`` on what is available; the state of each batch is a set of written tables."""
-    spark = stream.sparkSession
+def newest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each key in a table of changes; combined before the shuffle, so long histories move little."""
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch.persist()
-        try:
-            for name, table in update(batch, state_tables(session, path, names, number)).items():
-                table.write.mode("overwrite").parquet(f"{path}/batch={number}/{name}")
-            session.range(1).write.mode("overwrite").parquet(f"{path}/batch={number}/_done")
-        finally:
-            batch.unpersist()
 
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    q.start().awaitTermination()
-    return state_tables(spark, path, names)
+def _micros(ts: str = "ts") -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-# Labels of a station wait this long for late ones before their order counts as settled.
-RULE_DELAY = "1 day"
+# Labels and requests wait this long for late ones before their order counts as settled.
+DELAY = "1 day"
+PAIRS = "array<struct<antecedent:string,consequent:string,n:long>>"
 
 
-def update_rules(batch: DataFrame, state: Tables | None, delay: str = RULE_DELAY) -> Tables:
-    """Transition counts of settled labels, and the labels that wait. batch: station, ts, label.
+def _pairs(labels: list) -> Counter:
+    return Counter((a, b) for a, b in zip(labels, labels[1:]) if a is not None)
 
-    A pair of neighbours counts once both are older than the newest label of their station by more than ``delay``; until then a
-    late label may come between them. ``waiting`` holds the unsettled labels and the last settled one of each station. A
-    label older than that one is too late and left out.
+
+def st_rules(labels: DataFrame, *, delay: str = DELAY) -> DataFrame:
+    """Transition counts per station as they grow: station, settled, open. labels: station, ts, label.
+
+    A pair of neighbours settles once both are older than the newest label of their station by more than ``delay``; until then a
+    late label may come between them. The state of a station is its counts (at most one per pair of labels), the labels that
+    wait and the last settled one. A label that is not newer than that one is too late and left out, as are labels without
+    a time. Equal times stand in the order of their labels. A task sorts one station's labels of one batch; the size of a batch is the reader's
+    to set (``files_per_trigger``).
     """
-    own = batch.select("station", "ts", "label")
-    if state is not None:
-        settled = state["waiting"].filter("settled").select("station", F.col("ts").alias("_settled"))
-        fresh = timeline.join_small(own, settled, ["station"], timeline.count_small(settled)).filter("_settled IS NULL OR ts > _settled").drop("_settled")
-        own = fresh.unionByName(state["waiting"].drop("settled"))
-    edge = own.groupBy("station").agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("_edge"))
-    shape = measure(own)
-    rows = timeline.join_small(own, edge, ["station"], shape.series, "inner").withColumn("settled", F.col("ts") < F.col("_edge")).drop("_edge")
-    chained = timeline.over_rows(rows, lambda w: {"antecedent": F.lag("label").over(w)}, back=1, shape=shape)
-    # The last settled label of the batch before is the first row here, so each settled pair is counted once.
-    counts = _pairs(chained.filter("settled"))
-    last = rows.filter("settled").groupBy("station").agg(F.max_by(F.struct("ts", "label"), "ts").alias("r")).select("station", "r.*", F.lit(True).alias("settled"))
-    if state is not None:
-        counts = counts.unionByName(state["counts"]).groupBy("station", "antecedent", "consequent").agg(F.sum("n").alias("n"))
-    return {"waiting": rows.filter("NOT settled").unionByName(last), "counts": counts}
-
-
-def _pairs(chained: DataFrame) -> DataFrame:
-    pairs = chained.filter(F.col("antecedent").isNotNull()).groupBy("station", "antecedent", F.col("label").alias("consequent"))
-    return pairs.agg(F.count(F.lit(1)).alias("n"))
-
-
-def rule_counts(state: Tables) -> DataFrame:
+    wait = int(pd.Timedelta(delay) / pd.Timedelta(microseconds=1))
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, waiting, last = state.get if state.exists else ([], [], None)
+        counts = Counter({(a, b): n for a, b, n in known})
+        last = None if last is None else tuple(last)
+        rows = [tuple(w) for w in waiting]
+        for p in parts:
+            fresh = p if last is None else p[p["at"] > last[0]]
+            rows += zip(fresh["at"].tolist(), [None if pd.isna(x) else x for x in fresh["label"]])
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        chain = rows if last is None else [last, *rows]
+        edge = rows[-1][0] - wait if rows else None
+        done = sum(r[0] < edge for r in chain) if rows else len(chain)
+        counts.update(_pairs([r[1] for r in chain[:done]]))
+        last = chain[done - 1] if done else None
+        rows = chain[done:]
+        listed = lambda c: [(*k, n) for k, n in c.items()]
+        state.update((listed(counts), rows, last))
+        shown = lambda c: [{"antecedent": a, "consequent": b, "n": n} for (a, b), n in c.items()]
+        still = _pairs([r[1] for r in ([last] if last else []) + rows])
+        yield pd.DataFrame({"station": [key[0]], "settled": [shown(counts)], "open": [shown(still)]})
+
+    label = "struct<at:long,label:string>"
+    rows = labels.select("station", _micros().alias("at"), "label").filter("at IS NOT NULL")
+    kind = labels.schema["station"].dataType.simpleString()
+    return rows.groupBy("station").applyInPandasWithState(
+        fold, f"station {kind}, settled {PAIRS}, open {PAIRS}", f"counts {PAIRS}, waiting array<{label}>, last {label}", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def rule_counts(stations: DataFrame) -> DataFrame:
     """Counts as they stand: the settled pairs and those among the waiting labels."""
-    waiting = timeline.over_rows(state["waiting"], lambda w: {"antecedent": F.lag("label").over(w)}, back=1)
-    both = _pairs(waiting).unionByName(state["counts"])
-    return both.groupBy("station", "antecedent", "consequent").agg(F.sum("n").alias("n"))
+    each = stations.select("station", F.explode(F.concat("settled", "open")).alias("p")).select("station", "p.*")
+    return each.groupBy("station", "antecedent", "consequent").agg(F.sum("n").alias("n"))
+
+
+def _last(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
+    return rows.nlargest(keep, ["at", "abs_error"]) if len(rows) > keep else rows
+
+
+def st_errors(log: DataFrame, *, keep: int = 100) -> DataFrame:
+    """The last ``keep`` scored predictions of each station and model: station, model, errors (array of ts, abs_error).
+
+    log: station, model, ts, abs_error. Tasks cut their rows to the last ``keep`` per key before the shuffle, so a key that holds most
+    rows sends a few of each Arrow batch. Of equal times the larger errors stay. Rows without an error or a time are left out.
+    """
+    keys = ["station", "model"]
+
+    def ahead(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.sort_values(["at", "abs_error"]).groupby(keys, dropna=False, sort=False).tail(keep)
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, errors = state.get if state.exists else ([], [])
+        have = pd.DataFrame({"at": pd.Series(at, dtype="int64"), "abs_error": pd.Series(errors, dtype="float64")})
+        for p in parts:
+            have = _last(pd.concat([have, p[["at", "abs_error"]]]), keep)
+        at, errors = have["at"].tolist(), have["abs_error"].tolist()
+        state.update((at, errors))
+        yield pd.DataFrame({"station": [key[0]], "model": [key[1]], "at": [at], "abs_error": [errors]})
+
+    rows = log.select(*keys, _micros().alias("at"), F.col("abs_error").cast("double").alias("abs_error")).dropna(subset=["at", "abs_error"])
+    few = rows.mapInPandas(ahead, rows.schema)
+    named = ", ".join(f"{k} {log.schema[k].dataType.simpleString()}" for k in keys)
+    return few.groupBy(*keys).applyInPandasWithState(
+        fold, f"{named}, at array<long>, abs_error array<double>", "at array<long>, abs_error array<double>", "update", GroupStateTimeout.NoTimeout
+    )
 
 
-def update_errors(keep: int = 100):
-    """The last ``keep`` scored predictions of each station and model. batch: station, model, ts, abs_error."""
+def recent_errors(state: DataFrame, ts_type: str = "timestamp") -> DataFrame:
+    """station, model, ts, abs_error of the kept predictions."""
+    each = state.select("station", "model", F.explode(F.arrays_zip("at", "abs_error")).alias("e"))
+    return each.select("station", "model", F.timestamp_micros("e.at").cast(ts_type).alias("ts"), "e.abs_error")
 
-    def update(batch: DataFrame, state: Tables | None) -> Tables:
-        own = batch.select("station", "model", "ts", "abs_error").filter(F.col("abs_error").isNotNull())
-        rows = own if state is None else own.unionByName(state["errors"])
-        last = timeline.newest(rows, keep, keys=["station", "model"])
-        return {"errors": last}
 
-    return update
+HEALTH = "total_requests long, successful_requests long, last_success long, last_failure long, seen long, times array<long>, counts array<long>"
 
 
-def update_health(batch: DataFrame, state: Tables | None) -> Tables:
-    """Totals and trailing failures of each provider. batch: provider, ts, success.
+def st_provider_health(log: DataFrame, *, delay: str = DELAY) -> DataFrame:
+    """Totals and trailing failures of each provider, compared by event time. log: provider, ts, success.
 
-    ``health`` holds totals, the newest success and the newest failure by event time; ``failures`` the failures after the newest
-    success, counted by time. Both are compared by event time, so late requests change them as if they had been on time.
+    Tasks combine each Arrow batch into one row per provider before the shuffle: totals, newest times, and the failures after the newest
+    success counted by time. The state adds those up, so late requests change it as if they had been on time. Failures older than
+    the newest request by more than ``delay`` are kept as one number, which bounds the state of a provider that is down for good; a success that
+    comes later still does not undo them. Requests without a time or an outcome are left out.
     """
-    ok = F.max(F.when(F.col("success"), F.col("ts")))
-    g = batch.groupBy("provider").agg(
-        F.count(F.lit(1)).alias("total_requests"), F.count_if("success").alias("successful_requests"), ok.alias("last_success"),
-        F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_failure"), F.max("ts").alias("seen"),
-    )
-    failed = batch.filter(~F.col("success")).groupBy("provider", "ts").agg(F.count(F.lit(1)).alias("n"))
-    if state is not None:
-        g = g.unionByName(state["health"].drop("run")).groupBy("provider").agg(
-            *[F.sum(c).alias(c) for c in ("total_requests", "successful_requests")], *[F.max(c).alias(c) for c in ("last_success", "last_failure", "seen")]
-        )
-        failed = failed.unionByName(state["failures"]).groupBy("provider", "ts").agg(F.sum("n").alias("n"))
-    n = timeline.count_small(g)
-    last = g.select("provider", "last_success")
-    trailing = timeline.join_small(failed, last, ["provider"], n, "inner").filter("last_success IS NULL OR ts > last_success").drop("last_success")
-    run = trailing.groupBy("provider").agg(F.sum("n").alias("run"))
-    health = g.join(run, "provider", "left").withColumn("run", F.coalesce("run", F.lit(0)))
-    return {"health": health, "failures": trailing}
-
-
-def health_status(state: DataFrame, *, unhealthy_at: int = 3, reset_after: int = 300) -> DataFrame:
-    """The state as agg_provider_health reports it, as of the newest request."""
-    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    w = Window.partitionBy(F.lit(0))
+    wait = int(pd.Timedelta(delay) / pd.Timedelta(microseconds=1))
+    newer = lambda *xs: max((int(x) for x in xs if x is not None and not pd.isna(x)), default=None)
+
+    def ahead(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for provider, g in p.groupby("provider", dropna=False, sort=False):
+                good, bad = g.loc[g["success"], "at"], g.loc[~g["success"], "at"]
+                after = (bad if good.empty else bad[bad > good.max()]).value_counts()
+                rows.append((None if pd.isna(provider) else provider, len(g), len(good), newer(*good.nlargest(1)), newer(*bad.nlargest(1)), int(g["at"].max()), after.index.tolist(), after.tolist()))
+            out = pd.DataFrame(rows, columns=["provider", *[c.split()[0] for c in HEALTH.split(", ")]])
+            yield out.astype({"last_success": "Int64", "last_failure": "Int64"})
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, good, last_good, last_bad, seen, settled, edge, times, counts = state.get if state.exists else (0, 0, None, None, None, 0, None, [], [])
+        failed = Counter(dict(zip(times, counts)))
+        reset = None
+        for p in parts:
+            total, good = total + int(p["total_requests"].sum()), good + int(p["successful_requests"].sum())
+            reset, last_bad, seen = newer(reset, *p["last_success"]), newer(last_bad, *p["last_failure"]), newer(seen, *p["seen"])
+            for t, n in zip(p["times"], p["counts"]):
+                failed.update({int(a): int(b) for a, b in zip(t, n)})
+        last_good = newer(last_good, reset)
+        if reset is not None and (edge is None or reset >= edge):
+            settled = 0
+        failed = {t: n for t, n in failed.items() if last_good is None or t > last_good}
+        edge = newer(edge, seen - wait)
+        settled += sum(n for t, n in failed.items() if t < edge)
+        failed = {t: n for t, n in failed.items() if t >= edge}
+        state.update((total, good, last_good, last_bad, seen, settled, edge, list(failed), list(failed.values())))
+        row = (key[0], total, good, last_good, last_bad, seen, settled + sum(failed.values()))
+        out = pd.DataFrame([row], columns=["provider", "total_requests", "successful_requests", "last_success", "last_failure", "seen", "run"])
+        yield out.astype({"last_success": "Int64", "last_failure": "Int64"})
+
+    kind = log.schema["provider"].dataType.simpleString()
+    rows = log.select("provider", _micros().alias("at"), "success").dropna(subset=["at", "success"])
+    few = rows.mapInPandas(ahead, f"provider {kind}, {HEALTH}")
+    numbers = "total_requests long, successful_requests long, last_success long, last_failure long, seen long"
+    return few.groupBy("provider").applyInPandasWithState(
+        fold, f"provider {kind}, {numbers}, run long", f"{numbers}, settled long, edge long, times array<long>, counts array<long>", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def health_status(state: DataFrame, *, unhealthy_at: int = 3, reset_after: int = 300, ts_type: str = "timestamp") -> DataFrame:
+    """The state as agg_provider_health reports it, as of the newest request. One row per provider meets in the window."""
+    now = F.max("seen").over(Window.partitionBy(F.lit(0)))
     down = F.col("run") >= unhealthy_at
-    out = state.withColumn("_now", F.max("seen").over(w))
-    reset = down & (seconds("_now") - seconds("last_failure") > reset_after)
-    return out.withColumns(
-        {"consecutive_failures": F.when(reset, F.lit(0)).otherwise(F.col("run")), "is_healthy": ~down | reset}
-    ).drop("_now", "run", "seen", "last_success")
+    # Whole seconds, as agg_provider_health compares them.
+    seconds = lambda c: F.floor(c / 1_000_000)
+    out = state.withColumn("_reset", down & (seconds(now) - seconds(F.col("last_failure")) > reset_after))
+    return out.select(
+        "provider", "total_requests", "successful_requests", F.timestamp_micros("last_failure").cast(ts_type).alias("last_failure"),
+        F.when(F.col("_reset"), F.lit(0)).otherwise(F.col("run")).alias("consecutive_failures"), (~down | F.col("_reset")).alias("is_healthy"),
+    )
 
 
-def in_two_parts(df: DataFrame, first, update, names: list[str], label: str) -> Tables:
-    """Write a table in two steps and fold the stream after each: a restart from the checkpoint with new files."""
+def in_two_parts(df: DataFrame, first, build: Callable[[DataFrame], DataFrame], keys: list[str], label: str) -> DataFrame:
+    """Write a table in two steps and run the stream after each: a restart from the checkpoint with new files."""
     spark = df.sparkSession
-    source, state, checkpoint = (scratch(spark, f"{label}-{x}") for x in ("source", "state", "checkpoint"))
+    source, path, checkpoint = (scratch(spark, f"{label}-{x}") for x in ("source", "changes", "checkpoint"))
     for part in (df.filter(first), df.filter(~first)):
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
-        out = fold_batches(stream, update, state, names, checkpoint)
-    return out
+        out = run_changes(build(stream), path, checkpoint=checkpoint)
+    return newest(out, keys)
