@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from wxspark.operators import series
+from wxspark.operators import lags, series
 from wxspark.operators.series import ARConfig
 
 
@@ -102,3 +102,54 @@ def test_order_grid_matches_single_fits(full):
 def test_arma_shapes(full):
     r = series.mdl_arma(full, "temperature", 2, 1).filter("station = 'a'").first()
     assert len(r["ar"]) == 2 and len(r["ma"]) == 1 and r["sigma"] > 0
+
+
+def test_products_of_many_lags_by_blocks(full):
+    from pyspark.sql import functions as F
+
+    df = full.select("station", "ts", (F.col("temperature") - 20).alias("v"))
+    for count, block in ((3, 16), (90, 32), (300, 64), (70, 8192)):
+        got = {r["station"]: np.array(r["products"]) for r in lags.lag_products(df, "v", count, block=block).collect()}
+        pair = {r["station"]: np.array(r["products"]) for r in lags.lag_products(df, "v", count, steps=True, block=block).collect()}
+        for s in ("a", "b"):
+            y = local(full, s, "temperature") - 20
+            assert np.allclose(got[s], [y[: max(len(y) - k, 0)] @ y[k:] for k in range(count + 1)], atol=1e-7)
+            x = np.column_stack([y[:-1], np.diff(y)])
+            assert np.allclose(pair[s].reshape(-1, 2, 2), [x[: max(len(x) - k, 0)].T @ x[k:] for k in range(count + 1)], atol=1e-7)
+
+
+def test_moments_of_steps_equal_the_lagged_table():
+    y = np.random.default_rng(5).normal(size=40).cumsum()
+    y -= y.mean()
+    x = lags.with_steps(y)
+    products = np.stack([x[: len(x) - k].T @ x[k:] for k in range(8)])
+    for c in (0, 1, 4, 7):
+        t = np.arange(c, len(x))
+        wide = np.column_stack([x[t, 1], x[t, 0], *[x[t - k, 1] for k in range(1, c + 1)]])
+        mean, cov, n = lags.step_moments(products, y[:8], y[-8:], len(y), c)
+        assert n == len(wide)
+        assert np.allclose(mean, wide.mean(axis=0), atol=1e-12) and np.allclose(cov, np.cov(wide.T, bias=True), atol=1e-11)
+
+
+def test_series_of_several_lengths_have_their_own_lag_limits(spark, full):
+    from pyspark.sql import functions as F
+
+    short = full.filter("station = 'a'").orderBy("ts").limit(30).withColumn("station", F.lit("c"))
+    one = full.filter("station = 'a'").limit(1).withColumn("station", F.lit("d"))
+    alone = series.ts_adf(short, "temperature").first()
+    among = {r["station"]: r for r in series.ts_adf(full.unionByName(short).unionByName(one), "temperature").collect()}
+    assert set(among) == {"a", "b", "c"} and among["c"]["used_lag"] == alone["used_lag"] and among["c"]["nobs"] == alone["nobs"]
+    assert abs(among["c"]["adf_statistic"] - alone["adf_statistic"]) < 1e-9
+    assert series.ts_adf(full.limit(0), "temperature").isEmpty() and series.ts_kpss(full.limit(0), "temperature").isEmpty()
+
+
+def test_moments_of_many_variables_keep_their_digits(spark):
+    from pyspark.sql import functions as F
+
+    names = [f"v{i}" for i in range(10)]
+    df = spark.range(3000).select((F.col("id") % 2).cast("string").alias("station"), *[(F.lit(1e6) + F.sin(F.col("id") * (i + 1)) / 100).alias(n) for i, n in enumerate(names)])
+    for r in series.moments(df.repartition(5), names).collect():
+        x = np.array(df.filter(f"station = '{r['station']}'").select(names).collect())
+        assert r["n"] == len(x) and np.allclose(r["means"], x.mean(axis=0), rtol=1e-14)
+        want = np.cov((x - 1e6).T, bias=True)[np.tril_indices(10)]
+        assert np.abs(np.array(r["cov"]) - want).max() < 1e-5 * np.abs(want).max()

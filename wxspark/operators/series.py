@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wxspark.operators import timeline
+from wxspark.operators.lags import lag_products, series_ends, step_moments
 from wxspark.operators.metrics import agg_metrics
 from wxspark.operators.timeline import COUNT, POS, Shape, join_small, measure
 from wxspark.schema import STATION, TARGETS, TS
+from wxspark.session import stored
 
 Z95 = 1.96
 
@@ -40,7 +42,7 @@ def moments(df: DataFrame, variables: Sequence[str], *, station: str = STATION)
     """station, n, means[k], cov[k*(k+1)/2] (lower triangle by rows) over rows where all variables are known.
 
     A few variables stay native. Many would need hundreds of aggregate expressions, so there each Arrow batch is reduced
-    to one row of sums per series by a matrix product and Spark adds those up.
+    to one row per series by a matrix product about its own means, and Spark moves those to the means of the series.
     """
     full = df.dropna(subset=list(variables))
     if len(variables) > NARROW:
@@ -62,25 +64,23 @@ def _batched_moments(vectors: DataFrame, k: int, station: str) -> DataFrame:
             rows = []
             for key, part in pdf.groupby(station, sort=False)["x"]:
                 x = np.stack(part.to_numpy())
-                rows.append((key, np.concatenate([[float(len(x))], x.sum(axis=0), (x.T @ x)[low]])))
-            yield pd.DataFrame(rows, columns=[station, "s"])
-
-    sums = (
-        vectors.mapInPandas(reduce, f"{station} {kind}, s array<double>")
-        .select(station, F.posexplode("s"))
-        .groupBy(station, "pos")
-        .agg(F.sum("col").alias("v"))
-        .groupBy(station)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda r: r["v"]).alias("s"))
-    )
+                mean = x.mean(axis=0)
+                rows.append((key, len(x), mean, ((x - mean).T @ (x - mean))[low]))
+            yield pd.DataFrame(rows, columns=[station, "n", "mean", "c"])
+
+    def gathered(each: DataFrame, value: Column, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
+        by_place = each.groupBy(station, "pos").agg(value.alias("v"), F.sum("n").alias("n"))
+        return by_place.groupBy(station).agg(F.max("n").alias("n"), F.transform(ordered, lambda r: r["v"]).alias(name))
+
+    # One small row per Arrow batch and series, read twice: for the means, then for products about them.
+    parts = stored(vectors.mapInPandas(reduce, f"{station} {kind}, n long, mean array<double>, c array<double>"), "moments")
+    means = gathered(parts.select(station, "n", F.posexplode("mean").alias("pos", "x")), F.sum(F.col("x") * F.col("n")) / F.sum("n"), "means")
     rows, cols = [F.array(*[F.lit(int(i)) for i in ix]) for ix in low]
-    n = F.col("s")[0]
-    mean = F.transform(F.slice("s", 2, k), lambda v: v / n)
-    out = sums.select(station, n.cast("long").alias("n"), mean.alias("means"), F.slice("s", 2 + k, len(low[0])).alias("ss"))
-    cov = F.transform(
-        "ss", lambda v, i: v / F.col("n") - F.get("means", F.get(rows, i)) * F.get("means", F.get(cols, i))
-    )
-    return out.select(station, "n", "means", cov.alias("cov"))
+    off = lambda ix, i: F.get("mean", F.get(ix, i)) - F.get("means", F.get(ix, i))
+    about = F.transform("c", lambda v, i: v + F.col("n") * off(rows, i) * off(cols, i))
+    cov = gathered(parts.join(means.drop("n"), station).select(station, "n", F.posexplode(about).alias("pos", "x")), F.sum("x") / F.sum("n"), "cov")
+    return means.join(cov.drop("n"), station).select(station, "n", "means", "cov")
 
 
 def _matrix(flat: np.ndarray, k: int) -> np.ndarray:
@@ -375,65 +375,54 @@ def adf_max_lag(n: int) -> int:
     return max(min(n // 2 - 2, math.ceil(12 * (n / 100) ** 0.25)), 0)
 
 
-def _adf_moments(df, target, station, ts, shape, caps: DataFrame, lags: int) -> DataFrame:
-    """Moments of the test regression where each series uses its own number of lags (``cap``)."""
-    wide = timeline.over_rows(
-        df,
-        lambda w: {"_dy": differenced(target, 0, 1, w), "_y1": F.lag(target, 1).over(w)}
-        | {f"_d{k}": differenced(target, k, 1, w) for k in range(1, lags + 1)},
-        back=lags + 1, station=station, ts=ts, shape=shape,
-    )
-    j = join_small(wide, caps, [station], shape.series, "inner")
-    j = j.withColumns(
-        {f"_d{k}": F.when(F.col("cap") < k, F.lit(0.0)).otherwise(F.col(f"_d{k}")) for k in range(1, lags + 1)}
-    )
-    names = ["_dy", "_y1", *[f"_d{k}" for k in range(1, lags + 1)]]
-    m = moments(j, names, station=station)
-    return m.join(caps, station).withColumnRenamed(station, "station")
+def _adf(products: np.ndarray, head: np.ndarray, tail: np.ndarray, rows: int, cap: int) -> tuple[float, int, int] | None:
+    """Statistic, lags and rows of the regression whose lag count has the lowest AIC among 0..cap, all on the rows the longest allows."""
+    mean, cov, n = step_moments(products, head, tail, rows, cap)
+    scores = []
+    for used in range(cap + 1):
+        sse = max(_regress(mean, cov, n, range(1, 2 + used))[2], 1e-300)
+        scores.append((n * math.log(sse / n) + 2 * (used + 2), used))
+    used = min(scores)[1]
+    mean, cov, n = step_moments(products, head, tail, rows, used)
+    use = list(range(1, 2 + used))
+    _, slopes, sse = _regress(mean, cov, n, use)
+    free = n - len(use) - 1
+    if free <= 0 or sse <= 0:
+        return None
+    var = np.linalg.pinv(cov[np.ix_(use, use)])[0, 0] / n * sse / free
+    return float(slopes[0] / math.sqrt(var)), used, n
+
+
+def _centred(base: DataFrame, target: str, station: str, ts: str, shape: Shape) -> DataFrame:
+    """station, ts, _r: values less the mean of their series, of series long enough to be tested."""
+    means = base.groupBy(station).agg(F.avg(target).alias("_m"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= MIN_TEST_ROWS)
+    return join_small(base, means, [station], shape.series, "inner").select(station, ts, (F.col(target) - F.col("_m")).alias("_r"))
 
 
 def ts_adf(df, target: str, *, station=STATION, ts=TS, shape: Shape | None = None) -> DataFrame:
     """Augmented unit root test with constant, lag count by AIC: station, adf_statistic, used_lag, nobs,
-    critical_5, adf_stationary."""
+    critical_5, adf_stationary.
+
+    One pass of lagged products serves the regressions of every lag count; Python sees one row per station.
+    """
     base = df.select(station, ts, target).dropna(subset=[target])
     shape = shape or measure(base, station)
     lags = adf_max_lag(shape.longest)
-    # Every max lag up to the longest series, as a small literal table is not needed: the rule is a column expression.
-    n = F.col("rows")
-    cap = F.greatest(F.least(F.floor(n / 2) - 2, F.ceil(12 * F.pow(n / 100.0, F.lit(0.25)))), F.lit(0)).cast("int")
-    caps = base.groupBy(station).agg(F.count(F.lit(1)).alias("rows")).filter(n >= MIN_TEST_ROWS).select(station, cap.alias("cap"))
-    k = lags + 2
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for station_, n_, mean, cov, c in zip(pdf["station"], pdf["n"], pdf["means"], pdf["cov"], pdf["cap"]):
-                mean, cov = np.asarray(mean), _matrix(np.asarray(cov), k)
-                scores = []
-                for used in range(int(c) + 1):
-                    sse = max(_regress(mean, cov, n_, range(1, 2 + used))[2], 1e-300)
-                    scores.append((n_ * math.log(sse / n_) + 2 * (used + 2), used))
-                rows.append((station_, min(scores)[1]))
-            yield pd.DataFrame(rows, columns=["station", "cap"])
+    centred = _centred(base, target, station, ts, shape)
+    sums = lag_products(centred, "_r", lags, steps=True, station=station, ts=ts, shape=shape)
+    ends = series_ends(centred, "_r", lags, station=station, ts=ts, shape=shape)
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for station_, n_, mean, cov, c in zip(pdf["station"], pdf["n"], pdf["means"], pdf["cov"], pdf["cap"]):
-                cov, use = _matrix(np.asarray(cov), k), list(range(1, 2 + int(c)))
-                _, slopes, sse = _regress(np.asarray(mean), cov, n_, use)
-                free = n_ - len(use) - 1
-                if free <= 0 or sse <= 0:
-                    continue
-                var = np.linalg.pinv(cov[np.ix_(use, use)])[0, 0] / n_ * sse / free
-                rows.append((station_, slopes[0] / math.sqrt(var), int(c), int(n_)))
-            yield pd.DataFrame(rows, columns=["station", "adf_statistic", "used_lag", "nobs"])
-
-    picked = _adf_moments(base, target, station, ts, shape, caps, lags).mapInPandas(choose, "station string, cap int")
-    picked = picked.withColumnRenamed("station", station)
-    out = _adf_moments(base, target, station, ts, shape, picked, lags).mapInPandas(
-        test, "station string, adf_statistic double, used_lag int, nobs long"
-    )
+            found = []
+            for name, p, head, tail, rows in zip(pdf[station], pdf["products"], pdf["head"], pdf["tail"], pdf["rows"]):
+                one = _adf(np.asarray(p).reshape(lags + 1, 2, 2), np.asarray(head), np.asarray(tail), int(rows), adf_max_lag(int(rows)))
+                if one is not None:
+                    found.append((name, *one))
+            yield pd.DataFrame(found, columns=["station", "adf_statistic", "used_lag", "nobs"])
+
+    kind = df.schema[station].dataType.simpleString()
+    out = sums.join(ends, station).mapInPandas(test, f"station {kind}, adf_statistic double, used_lag int, nobs long")
     critical = sum((F.lit(c) / F.pow(F.col("nobs").cast("double"), F.lit(float(i))) for i, c in enumerate(ADF_CRITICAL)), F.lit(0.0))
     return out.withColumn("critical_5", critical).withColumn("adf_stationary", F.col("adf_statistic") <= F.col("critical_5"))
 
@@ -445,16 +434,6 @@ def _kpss_p(stat: Column) -> Column:
     return chain.otherwise(KPSS_CRITICAL[-1][1])
 
 
-def _lag_products(df, value: str, lags: int, station, ts, shape) -> DataFrame:
-    """station, products[k] = sum of value * value k rows earlier, k = 0..lags, in one window and one aggregate."""
-    wide = timeline.over_rows(
-        df, lambda w: {f"_p{k}": F.col(value) * F.lag(value, k).over(w) for k in range(1, lags + 1)},
-        back=max(lags, 1), station=station, ts=ts, shape=shape,
-    )
-    parts = [F.sum(F.col(value) * F.col(value))] + [F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(1, lags + 1)]
-    return wide.groupBy(station).agg(F.array(*parts).alias("products"))
-
-
 def ts_kpss(df, target: str, *, station=STATION, ts=TS, nlags: int | str = "auto", shape: Shape | None = None) -> DataFrame:
     """Level stationarity test: station, kpss_statistic, used_lag, kpss_pvalue.
 
@@ -462,16 +441,13 @@ def ts_kpss(df, target: str, *, station=STATION, ts=TS, nlags: int | str = "auto
     """
     base = df.select(station, ts, target).dropna(subset=[target])
     shape = shape or measure(base, station)
-    means = base.groupBy(station).agg(F.avg(target).alias("_m"), F.count(F.lit(1)).alias("rows"))
-    means = means.filter(F.col("rows") >= MIN_TEST_ROWS)
-    centred = join_small(base, means, [station], shape.series, "inner").select(
-        station, ts, (F.col(target) - F.col("_m")).alias("_r"), "rows"
-    )
+    centred = _centred(base, target, station, ts, shape)
+    means = centred.groupBy(station).agg(F.count(F.lit(1)).alias("rows"))
     if nlags == "auto":
         few = int(max(shape.longest, 1) ** (2 / 9) + 1e-9)
         n = F.col("rows").cast("double")
         own = F.floor(F.pow(n, F.lit(2.0 / 9.0)) + 1e-9).cast("int")
-        g = _lag_products(centred, "_r", few, station, ts, shape).join(means, station)
+        g = lag_products(centred, "_r", few, station=station, ts=ts, shape=shape).join(means, station)
         gam = F.transform(F.slice("products", F.lit(2), own), lambda x: x / (n / 2))
         s0 = F.aggregate(gam, F.col("products")[0] / n, lambda a, x: a + x)
         s1 = F.aggregate(F.transform(gam, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
@@ -482,7 +458,7 @@ def ts_kpss(df, target: str, *, station=STATION, ts=TS, nlags: int | str = "auto
     else:
         lag_table = means.select(station, F.lit(int(nlags)).alias("used_lag"))
         top = int(nlags)
-    prods = _lag_products(centred, "_r", top, station, ts, shape)
+    prods = lag_products(centred, "_r", top, station=station, ts=ts, shape=shape)
     # Squared running sums per series.
     cs = timeline.running_sum(centred, "_r", "_s", station=station, ts=ts, shape=shape)
     eta = cs.groupBy(station).agg(F.sum(F.col("_s") * F.col("_s")).alias("_eta"), F.count(F.lit(1)).alias("_rows"))
