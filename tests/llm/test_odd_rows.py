@@ -79,7 +79,14 @@ def test_secrets(spark, odd, empty):
         if d != 5 and "BEGIN" not in (t or ""):
             assert got[d] == {",".join(f"{k}:{a}:{b}" for k, a, b in brute.secrets(t))}
     assert got[16] == {"pem:0:31"}
-    assert secret_ledger.report(odd, scratch(spark, "ledger")).count() == odd.count()
+    path = scratch(spark, "ledger")
+    assert secret_ledger.report(odd, path).count() == odd.count()
+    # Two runs filled the ledger: every pair is there once, and base pairs of the first run's contents are not scanned again.
+    pairs = secret_ledger.ledger(spark, path).withColumn("file", F.input_file_name()).collect()
+    assert len(pairs) == len({(p.blob, p.rule, p.version) for p in pairs}) == len({p.blob for p in pairs}) * len(secret_ledger.RULES)
+    base = {r.kind for r in secret_ledger.BASE_RULES}
+    early = {p.file for p in pairs if p.blob < "8" and p.rule in base}
+    assert early and not early & {p.file for p in pairs if p.blob >= "8" or p.rule not in base}
     assert secret_ledger.report(empty, scratch(spark, "ledger")).count() == 0
 
 
