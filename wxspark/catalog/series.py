@@ -199,3 +199,11 @@ def cv_time_series(spark, path):
     from wxspark.plans.validate import cv_time_series as cv
 
     return cv(panel_table(spark, path), "temperature")
+
+
+@query("cv_models", keys="station model", nums="mae_mean mae_std rmse_mean rmse_std", digits=4)
+def cv_models(spark, path):
+    """Autoregression and rule base over five folds; tests/test_validate.py has the loop over folds."""
+    from wxspark.plans.validate import cv_models as cv
+
+    return cv(panel_table(spark, path), "temperature")

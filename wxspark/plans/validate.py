@@ -2,12 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wxspark.operators import metrics, series, split, timeline
-from wxspark.operators.timeline import Shape
+from wxspark.operators import fuzzy, metrics, series, split, timeline
+from wxspark.operators.fuzzy import FuzzyConfig
+from wxspark.operators.series import ARConfig
+from wxspark.operators.timeline import Shape, join_small, measure
 from wxspark.schema import STATION, TS
+from wxspark.session import stored
+
+#: Key of one series of one fold, in place of a station.
+KEY = "fold_series"
+#: (rows of all folds, their training rows, target, ts, shape) -> KEY, ts, actual, prediction; one step ahead, training rows may be among them.
+Fitter = Callable[[DataFrame, DataFrame, str, str, Shape], DataFrame]
+
+
+def by_autoregression(cfg: ARConfig = ARConfig()) -> Fitter:
+    """An autoregression per station and fold; a fold of fewer training rows than ``cfg.min_rows`` has none."""
+
+    def fit(rows: DataFrame, train: DataFrame, target: str, ts: str, shape: Shape) -> DataFrame:
+        own = replace(cfg, station=KEY, ts=ts)
+        params = stored(series.mdl_ar(train, target, own, shape=shape), "cv_ar")
+        return series.ar_fitted(rows, params, target, own, shape=shape)
+
+    return fit
+
+
+def by_rules(cfg: FuzzyConfig = FuzzyConfig()) -> Fitter:
+    """A rule base of first order per station and fold, over the range of its training rows."""
+
+    def fit(rows: DataFrame, train: DataFrame, target: str, ts: str, shape: Shape) -> DataFrame:
+        own = replace(cfg, target=target, station=KEY, ts=ts)
+        params = stored(fuzzy.fz_fit(train, own, shape=shape), "cv_rules")
+        known = rows.select(KEY, ts, target).dropna(subset=[target])
+        lagged = timeline.over_rows(known, lambda w: {"_before": F.lag(target, 1).over(w)}, back=1, station=KEY, ts=ts, shape=shape)
+        j = join_small(lagged.filter("_before IS NOT NULL"), params, [KEY], shape.series, "inner", per_row=4 * cfg.sets)
+        led = F.get("map", fuzzy.best_set(F.col("_before"), own))["value"]
+        return j.select(KEY, ts, F.col(target).alias("actual"), led.alias("prediction"))
+
+    return fit
+
+
+def cv_folds(df, target: str, models: dict[str, Fitter], *, station=STATION, ts=TS, n_splits: int = 5, shape: Shape | None = None) -> DataFrame:
+    """station, fold, model and the metrics of its validation rows, for every model that fits per station.
+
+    Each (station, fold) is a series of its own, so the fits of all folds are the same few jobs as one fit of all stations; nothing loops
+    over folds. Validation rows are those after the last training row of their fold. Rows without a station are left out; a fold
+    a model cannot be fitted on has no row for it.
+    """
+    folds = split.win_cv_folds(df.select(station, ts, target).filter(F.col(station).isNotNull()), station=station, ts=ts, n_splits=n_splits, shape=shape)
+    rows = stored(folds.withColumn(KEY, F.concat(F.col("fold").cast("string"), F.lit(":"), F.col(station).cast("string"))), "cv_folds")
+    keyed = measure(rows, KEY)
+    train = rows.filter("role = 'train'").select(KEY, ts, target)
+    starts = rows.filter("role = 'train'").groupBy(KEY, station, "fold").agg(F.max(ts).alias("_last"))
+    made = [
+        fit(rows.select(KEY, ts, target), train, target, ts, keyed).select(KEY, ts, "actual", "prediction", F.lit(name).alias("model"))
+        for name, fit in models.items()
+    ]
+    judged = join_small(reduce(DataFrame.unionByName, made), starts, [KEY], keyed.series, "inner").filter(F.col(ts) > F.col("_last"))
+    return metrics.agg_metrics(judged.dropna(subset=["actual", "prediction"]), by=[station, "fold", "model"])
+
+
+def cv_models(df, target: str, models: dict[str, Fitter] | None = None, *, station=STATION, ts=TS, n_splits: int = 5, shape: Shape | None = None) -> DataFrame:
+    """Mean and deviation of the fold metrics of every model: by default the autoregression and the rule base."""
+    models = models or {"arima": by_autoregression(), "fuzzy": by_rules()}
+    return metrics.agg_cv_summary(cv_folds(df, target, models, station=station, ts=ts, n_splits=n_splits, shape=shape), by=[station, "model"])
 
 
 def cv_time_series(df, target: str, *, station=STATION, ts=TS, n_splits: int = 5, shape: Shape | None = None) -> DataFrame:
