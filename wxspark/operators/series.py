@@ -597,7 +597,7 @@ def ts_diagnostics(residuals: DataFrame, *, value: str = "residual", lags: int =
         F.avg(value).alias("residual_mean"), F.stddev_pop(value).alias("residual_std"), F.count(F.lit(1)).alias("n")
     )
     centred = join_small(base, stats, [station], shape.series).withColumn("_r", F.col(value) - F.col("residual_mean"))
-    prods = _lag_products(centred.select(station, ts, "_r"), "_r", lags, station, ts, shape)
+    prods = lag_products(centred, "_r", lags, station=station, ts=ts, shape=shape)
     n = F.col("n").cast("double")
     terms = F.transform(
         F.slice("products", 2, lags), lambda x, i: F.try_divide(F.pow(F.try_divide(x, F.col("products")[0]), F.lit(2.0)), n - (i + 1))
