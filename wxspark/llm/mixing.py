@@ -19,9 +19,7 @@ from wxspark.session import cut, stored
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
-NEWTON_STEPS = 40
 TOLERANCE = 1e-7
-CORRECTIONS = 12
 
 
 def _same(a: str, b: str):
@@ -59,7 +57,7 @@ def rates(cells: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
     # A source with no target or with all it can give needs no tilt.
     inner = (F.col("target") > 0) & (F.col("target") < F.col("cap") * (1 - 1e-12))
     at = cut(means.where(inner).select("source", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high")))
-    for _ in range(NEWTON_STEPS):
+    while True:
         here = at.select(F.col("source").alias("_s"), "tilt", "low", "high")
         rate = most / (1 + (most - 1) * F.exp(-F.greatest(F.least(F.col("tilt") * F.col("x"), F.lit(600.0)), F.lit(-600.0))))
         sums = base.join(here, _same("source", "_s")).withColumn("r", rate).groupBy("source").agg(
@@ -77,10 +75,12 @@ def rates(cells: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
         held = F.greatest(F.least(step, F.col("tilt") + reach), F.col("tilt") - reach)
         inside = (held > low) & (held < high)
         moved = F.when(off < TOLERANCE, F.col("tilt")).when(inside, held).otherwise((low + high) / 2)
-        at = cut(sums.select("source", moved.alias("tilt"), low.alias("low"), high.alias("high"), off.alias("off")))
-        worst = at.agg(F.max("off")).first()[0]
-        at = at.drop("off")
-        if worst is None or worst < TOLERANCE:
+        # A source is settled when it meets its target, or when no number is left between the ends of its bracket.
+        still = (off >= TOLERANCE) & (moved != F.col("tilt"))
+        at = cut(sums.select("source", moved.alias("tilt"), low.alias("low"), high.alias("high"), still.alias("open")))
+        unsettled = not at.where("open").isEmpty()
+        at = at.drop("open")
+        if not unsettled:
             break
     # Nine digits of the tilt, so that the order in which sums were added does not show in the rates.
     kept = at.select(F.col("source").alias("_s"), F.expr("cast(format_string('%.9e', tilt) as double)").alias("tilt"))
@@ -93,14 +93,15 @@ def cell_copies(rated: DataFrame, most: int = 2) -> DataFrame:
     """(source, size, n, copies): whole copies of each cell, between 0 and ``most`` per document.
 
     Running copies follow running rates from large to small sizes; what is then missing or too much of a source's words is
-    moved by whole copies of the largest size that still fits, at most CORRECTIONS times.
+    moved by whole copies of the largest size that still fits. Each round brings a source nearer to its target or does not touch it;
+    the rounds end when no copy helps any source.
     """
     down = Window.partitionBy("source").orderBy(F.desc("size"))  # a row per size, not per document
     running = F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, 0))
     earlier = F.coalesce(F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     copies = F.greatest(F.least(F.round(running) - F.round(earlier), F.col("n") * most), F.lit(0)).cast("long")
     current = cut(rated.select("source", "size", "n", "target", copies.alias("copies")))
-    for _ in range(CORRECTIONS):
+    while True:
         lack = current.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")).select(F.col("source").alias("_s"), "lack")
         open_ = F.when(F.col("lack") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
         fits = current.join(lack, _same("source", "_s")).withColumn("open", open_).where("open > 0 and size <= 2 * abs(lack)")
