@@ -123,7 +123,18 @@ def test_toxicity(spark, odd, empty):
     assert got.count() == many.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.report(odd, labels.limit(0)).where("predicted = 0 and score = 0").count() == odd.count()
     assert toxicity.report(empty, labels).count() == 0
+    # The sample holds the smallest hashes, whether or not a bound on the hash comes before the sort.
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 1 THEN concat('you stupid idiot ', id) ELSE concat('a plain text ', id) END AS text")
+    given = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    bounded = toxicity.scored(docs, given, sample=400).where(f"({toxicity.SCORE} >= 0.5) <> (doc_id % 2 = 1)")
+    assert bounded.isEmpty()
     assert toxicity.features(None, {}) == toxicity.features(" \n", {}) == [0.0] * len(toxicity.FEATURES)
+    # Words of any length are learned and read through their disguise.
+    long = "x" * 60 + "vile"
+    told = spark.createDataFrame([(f"you {long} number{i}" if i % 2 else f"plain number{i}", i % 2) for i in range(200)], "text string, label int")
+    learned = toxicity.learn_words(told)
+    assert long in learned
+    assert toxicity.features("x" * 60 + "v1l3", learned)[toxicity.FEATURES.index("obfuscated_insults")] == 1
     f = dict(zip(toxicity.FEATURES, toxicity.features("YOU are a 1d10t, idiot!", {})))
     assert f["insults"] == 1 and f["obfuscated_insults"] == 1 and f["near_second_person"] == 1 and f["exclaimed_share"] > 0
 

@@ -23,6 +23,8 @@ from wxspark.session import stored
 
 #: Most labelled rows that trees and calibration may use, taken by a hash of the id.
 SAMPLE = 40_000
+#: Share of the sample's size that a bound on the hash lets through before the sample is cut to size.
+SPARE = 1.25
 #: Most words of the learned lexicon, and the least documents of the sample a word must be in.
 LEARNED, LEAST_DOCS = 200, 5
 #: Words within this distance of a lexicon word count as near it.
@@ -74,7 +76,7 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     capitals = counts[65:91].sum()
     # A word is obfuscated if digits or signs stand between its letters; signs at its ends were stripped.
     odd = [w for w in words if len(w) > 2 and not w.isalpha() and any(c in LOOKALIKES for c in w) and any(c.isalpha() for c in w)]
-    plain = ["".join(LOOKALIKES.get(c, c) for c in w) for w in odd if len(w) < 40]
+    plain = ["".join(LOOKALIKES.get(c, c) for c in w) for w in odd]
     masked = sum(w in insults or w in learned for w in plain)
     return [
         float(len(hits)), len(hits) / n, float(sum(weights)), sum(weights) / n, len(persons) / n, float(near), near / n,
@@ -105,7 +107,7 @@ def learn_words(rows: DataFrame) -> dict[str, float]:
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pairs = [(w, y) for t, y in zip(frame["text"], frame["label"]) for w in {*words_of(t or "")} if 2 < len(w) < 40]
+            pairs = [(w, y) for t, y in zip(frame["text"], frame["label"]) for w in {*words_of(t or "")} if len(w) > 2]
             yield pd.DataFrame(pairs, columns=["word", "label"])
 
     totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
@@ -148,7 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     Ids are compared as text. An id with several labels counts with each of them.
     """
     known = labels.where("label in (0, 1)").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null")
-    chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample), "labels")
+    total, place = known.count(), F.xxhash64("doc_id")
+    if total > SPARE * sample:
+        # Hashes are spread evenly: those below this bound hold a little more than the sample, so one task sorts few rows.
+        known = known.where(place < int(-(2**63) + 2**64 * SPARE * sample / total))
+    chosen = stored(known.orderBy(place, "doc_id", "label").limit(sample), "labels")
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(texts.join(F.broadcast(chosen), "doc_id"), "labelled")  # at most ``sample`` ids
     calibrating = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
