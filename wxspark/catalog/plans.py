@@ -88,6 +88,8 @@ def align_features(spark, path):
 # ---- forests and window regressions (rows only) -------------------------------------------------------------------
 
 SMALL = forest.ForestConfig(trees=10, depth=6)
+#: Narrower than the whole grid in trees and depths only; trees grow once for all of either.
+TUNED = forest.GRID | {"trees": [10, 20], "depth": [5, 10]}
 FOREST_FEATURES = [
     "humidity", "pressure", "wind_speed", "cloud_cover", "hour_sin", "hour_cos", "temperature", "pressure_tendency",
     "temperature_lag_1h", "temperature_lag_3h", "temperature_rolling_6h_mean", "temperature_rolling_6h_std",
@@ -108,24 +110,25 @@ def mdl_forest(spark, path):
 
 @query("agg_importance", keys="feature", nums="importance")
 def agg_importance(spark, path):
-    train = forest_frame(spark, path)
-    return forest.agg_importance(forest.mdl_forest(train, ["temperature"], SMALL), FOREST_FEATURES, spark)
+    train = forest_frame(spark, path, TARGETS)
+    return forest.agg_importance(forest.mdl_forest(train, TARGETS, SMALL), FOREST_FEATURES, spark)
 
 
 @query("sel_forest", keys="feature", ints="rank", nums="importance")
 def sel_forest(spark, path):
-    return forest.sel_forest(forest_frame(spark, path), FOREST_FEATURES, "temperature", forest.ForestConfig(trees=20, depth=6))
+    return forest.sel_forest(forest_frame(spark, path), FOREST_FEATURES, "temperature", forest.ForestConfig(trees=50, depth=6))
 
 
 @query("mdl_forest_tune", keys="params", nums="mse")
 def mdl_forest_tune(spark, path):
-    return forest.mdl_forest_tune(forest_frame(spark, path), "temperature", {"trees": [5, 10], "depth": [4]}, n_splits=2)
+    return forest.mdl_forest_tune(forest_frame(spark, path), "temperature", TUNED)
 
 
 @query("int_tree_spread", keys="station ts target", nums="prediction lower upper")
 def int_tree_spread(spark, path):
-    train = forest_frame(spark, path)
-    return forest.int_tree_spread(forest.mdl_forest(train, ["temperature"], SMALL), train)
+    train = forest_frame(spark, path, TARGETS)
+    nodes = trees.node_table(forest.mdl_forest(train, TARGETS, forest.ForestConfig(trees=100, depth=6)), spark)
+    return trees.tree_spread(train, nodes)
 
 
 def window_train(spark, path, length=24):

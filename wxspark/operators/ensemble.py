@@ -138,7 +138,7 @@ def join_actuals(predictions: DataFrame, actuals: DataFrame, *, on: Sequence[str
 def en_metrics(log: DataFrame, weights: DataFrame, *, station=STATION) -> DataFrame:
     """Detailed metrics of every model and of the ensemble, with weights and the number of models."""
     combined = en_combine(log, weights, station=station)
-    truth = log.groupBy(station, TS, "target").agg(F.first("actual").alias("actual"))
+    truth = log.groupBy(station, TS, "target").agg(F.max("actual").alias("actual"))
     ens = combined.join(truth, [station, TS, "target"]).withColumn("model", F.lit("ensemble"))
     every = log.select(station, "model", "actual", "prediction").unionByName(ens.select(station, "model", "actual", "prediction"))
     m = agg_metrics_detailed(every, by=[station, "model"])

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -15,7 +13,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wxspark.operators import split, timeline
+from wxspark.operators import binned, split, timeline
+from wxspark.operators.hashes import poisson_counts
 from wxspark.operators.intervals import int_samples
 from wxspark.operators.select import topk_importance
 from wxspark.operators.timeline import Shape, measure
@@ -108,27 +107,15 @@ def mdl_forest_tune(
     station=STATION, ts=TS, shape: Shape | None = None,
 ) -> DataFrame:
     """Mean squared error of each grid point over expanding folds, best first. All rows take part; ``newest`` limits
-    the search to the last rows of each series where a caller wants that."""
-    grid = GRID if grid is None else grid
+    the search to the last rows of each series where a caller wants that. All points and folds grow together from one
+    binned table, see ``binned``."""
     if newest is not None:
         train = split.win_history_bound(train, keys=[station], ts=ts, keep=newest)
-    folds = split.win_cv_folds(train, station=station, ts=ts, n_splits=n_splits, shape=shape).persist()
-    rows = []
-    try:
-        for values in product(*grid.values()):
-            point = dict(zip(grid, values))
-            errors = []
-            for fold in range(n_splits):
-                part = folds.filter(F.col("fold") == fold)
-                model = _forest(ForestConfig(**point), f"label_{target}").fit(part.filter("role = 'train'"))
-                scored = model.transform(part.filter("role = 'validation'"))
-                e = F.col("prediction") - F.col(f"label_{target}")
-                errors.append(scored.agg(F.avg(e * e)).first()[0])
-            known = [e for e in errors if e is not None]
-            rows.append((str(point), sum(known) / len(known) if known else float("inf")))
-    finally:
-        folds.unpersist()
-    return train.sparkSession.createDataFrame(rows, "params string, mse double").orderBy("mse")
+    cfg = ForestConfig()
+    defaults = {"trees": cfg.trees, "depth": cfg.depth, "min_leaf": cfg.min_leaf, "subset": cfg.subset}
+    return binned.search(
+        train, target, GRID if grid is None else grid, defaults, n_splits=n_splits, seed=cfg.seed, station=station, ts=ts, shape=shape,
+    )
 
 
 # ---- window regression --------------------------------------------------------------------------------------------
@@ -177,17 +164,6 @@ def multi_step(
     return done.select(station, "last_ts", "step", *[F.col(f"p.{t}").alias(t) for t in models])
 
 
-def poisson_counts(keys, replicas: int):
-    """Poisson(1) counts of each replica from hashes of row keys, one row per key: the same on every retry of a task."""
-    # Probabilities until a term no longer shows in the sum.
-    chances = [math.exp(-1) / math.factorial(k) for k in range(19)]
-    u = keys.astype(np.uint64)[:, None] + np.arange(1, replicas + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        u = (u ^ (u >> np.uint64(shift))) * np.uint64(factor)
-    u = (u ^ (u >> np.uint64(31))) >> np.uint64(11)
-    return np.searchsorted(np.cumsum(chances), u / 2.0**53, side="right").astype(np.float64)
-
-
 def ridge(moments, reg: float):
     """Coefficients and intercept from the weighted sums of products of (features, label, 1); both sides are standardised
     for the penalty, as in mdl_window_reg. Constant features get 0."""
