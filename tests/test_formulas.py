@@ -125,6 +125,12 @@ def test_band_join_equals_brute_force(spark):
     for salt in (1, 5):
         got = [(r["id"], r["row"]) for r in places.join_band(a, b, salt=salt).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    # Cells of any crowding; a third of the rows lies in one of them.
+    crowded = b.union(b.selectExpr("row + 1000", "0.5D", "0.5D").limit(250))
+    want |= {(i, r["row"]) for i, la, lo in req for r in crowded.filter("row >= 1000").collect() if abs(la - 0.5) <= 0.1 and abs(lo - 0.5) <= 0.1}
+    for crowd in (2, 60, 10_000):
+        got = [(r["id"], r["row"]) for r in places.join_band(a, crowded, crowd=crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     left = places.join_band(a, b, how="left")
     assert left.select("id").distinct().count() == 40
 

@@ -94,7 +94,7 @@ def join_band(spark, path):
         "o_orderkey", "o_totalprice", F.col("o_orderdate").alias("ts"),
         (8 + (c % 2800) / F.lit(100.0)).alias("latitude"), (68 + (c * 7 % 2700) / F.lit(100.0)).alias("longitude"),
     )
-    return P.join_band(req, rows, tol=0.25, start="t0", end="t1", salt=4)
+    return P.join_band(req, rows, tol=0.25, start="t0", end="t1")
 
 
 # Provider results for search: one row per customer and provider, places repeat and shift.

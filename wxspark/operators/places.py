@@ -12,47 +12,54 @@ from wxspark.functions.geo import CITIES, CITY_COUNTRY, EARTH_KM, haversine
 from wxspark.functions.labels import location_name
 from wxspark.operators.timeline import count_small, join_small, measure
 from wxspark.schema import TS
+from wxspark.session import stored
 
 _DEGREE_KM = EARTH_KM * math.pi / 180
 
 
+#: Rows of a grid cell from which they are spread over several join keys.
+CROWD = 1_000_000
+
+
 def _grid(x: Column, cell: float) -> Column:
     return F.floor(x / F.lit(cell)).cast("long")
 
 
 def join_band(
     requests: DataFrame, rows: DataFrame, *, tol: float = 0.1, ts: str = TS, start: str | None = None, end: str | None = None,
-    how: str = "inner", salt: int = 1,
+    how: str = "inner", salt: int | None = None, crowd: int = CROWD,
 ) -> DataFrame:
     """Rows within ``tol`` degrees of each request point (id, lat, lon), and between its ``start`` and ``end`` columns.
 
     A range condition alone would compare everything with everything. Both sides are put on a grid of cells a little
-    wider than ``tol``; each request goes to its 3x3 neighbour cells and meets only the rows of those cells. ``salt``
-    spreads the rows of a crowded cell over several join keys and copies the requests, the small side, to each.
+    wider than ``tol``; each request goes to its 3x3 neighbour cells and meets only the rows of those cells. A cell with
+    more than ``crowd`` rows is spread over as many join keys as it holds ``crowd`` rows, and only the requests near it are
+    copied to each; ``salt`` sets one number of keys for all cells instead and saves counting them.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     cell = tol * 1.001
     near = lambda c: F.sequence(_grid(c, cell) - 1, _grid(c, cell) + 1)
-    asked = (
-        requests.withColumn("_gy", F.explode(near(F.col("lat"))))
-        .withColumn("_gx", F.explode(near(F.col("lon"))))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    )
-    stored = rows.withColumns(
-        {
-            "_gy": _grid(F.col("latitude"), cell),
-            "_gx": _grid(F.col("longitude"), cell),
-            "_salt": F.pmod(F.xxhash64(*rows.columns), F.lit(salt)).cast("int"),
-        }
-    )
+    asked = requests.withColumn("_gy", F.explode(near(F.col("lat")))).withColumn("_gx", F.explode(near(F.col("lon"))))
+    placed = rows.withColumns({"_gy": _grid(F.col("latitude"), cell), "_gx": _grid(F.col("longitude"), cell)})
+    if salt is None:
+        counts = placed.groupBy("_gy", "_gx").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowd)
+        crowded = stored(counts.select("_gy", "_gx", F.ceil(F.col("_n") / crowd).cast("int").alias("_salts")), "crowded")
+        n = count_small(crowded)
+        salts = F.coalesce("_salts", F.lit(1))
+        asked = join_small(asked, crowded, ["_gy", "_gx"], n)
+        placed = join_small(placed, crowded, ["_gy", "_gx"], n)
+    else:
+        salts = F.lit(salt)
+    asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
     ok = F.col("latitude").between(F.col("lat") - tol, F.col("lat") + tol)
     ok = ok & F.col("longitude").between(F.col("lon") - tol, F.col("lon") + tol)
     if start:
         ok = ok & (F.col(ts) >= F.col(start))
     if end:
         ok = ok & (F.col(ts) <= F.col(end))
-    met = asked.join(stored, ["_gy", "_gx", "_salt"]).filter(ok).drop("_gy", "_gx", "_salt")
+    met = asked.join(placed, ["_gy", "_gx", "_salt"]).filter(ok).drop("_gy", "_gx", "_salt")
     if how == "inner":
         return met
     alone = requests.join(met.select("id").distinct(), "id", "left_anti")
