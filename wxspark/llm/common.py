@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wxspark.session import cut, stored
+from wxspark.session import compact, stored
 
 #: Regular expression of a word: anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,7 +80,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn: every node hands its larger, then its smaller neighbours to the smallest
     node next to it. Each step is an aggregate and a join on the node, so a node with very many neighbours is
-    combined before the shuffle and split by the engine in the join. Lineage is cut through reliable checkpoints.
+    combined before the shuffle and split by the engine in the join. Lineage is cut by writing the links of each step, in as few
+    part files as they fill.
     """
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -88,7 +89,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
 
-    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    n = current.count()  # steps add no links
     for _ in range(max_rounds):
         pairs = both(current)
         low = smallest(pairs).select("u", F.least("u", "m").alias("m"))
@@ -96,7 +98,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = smallest(large)
         small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        current = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        current = compact(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n, "links")
         # Settled when each node is either a root or has one root: members once on the left, roots never.
         sides = current.select(F.col("a").alias("u"), F.lit(1).alias("member")).union(current.select("b", F.lit(0)))
         per_node = sides.groupBy("u").agg(F.sum("member").alias("roots"), F.min("member").alias("least"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wxspark.llm.common import salted_ranks, sheltered, word_count
-from wxspark.session import cut, stored
+from wxspark.session import compact, stored
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -36,7 +36,7 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     # One row per source, read by one task; the count is that of sources, not of documents.
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("_nth", F.row_number().over(order) - 1)
-    table = cut(ranked.select("source", "source_size", cycle.alias("weight"), (F.col("source_size") * most).alias("cap")))
+    table = stored(ranked.select("source", "source_size", cycle.alias("weight"), (F.col("source_size") * most).alias("cap")), "caps")
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * share
     level, full_before = 0.0, -1
     while True:
@@ -50,13 +50,14 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
 
 def rates(cells: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
     """(source, size, n, target, rate) of each cell; ``cells`` has (source, size, n) with sizes above 0."""
+    n = cells.count()  # no table below has more rows
     means = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
     means = means.join(goals.withColumnRenamed("source", "_s"), _same("source", "_s")).select("source", "target", (F.col("words") / F.col("docs")).alias("mean"), (F.col("words") * most).alias("cap"))
     known = means.select(F.col("source").alias("_s"), "target", "mean", "cap")
-    base = cut(cells.join(known, _same("source", "_s")).select("source", "size", "n", "target", "mean", "cap", (F.col("size") / F.col("mean")).alias("x")))
+    base = compact(cells.join(known, _same("source", "_s")).select("source", "size", "n", "target", "mean", "cap", (F.col("size") / F.col("mean")).alias("x")), n, "base")
     # A source with no target or with all it can give needs no tilt.
     inner = (F.col("target") > 0) & (F.col("target") < F.col("cap") * (1 - 1e-12))
-    at = cut(means.where(inner).select("source", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high")))
+    at = compact(means.where(inner).select("source", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high")), n, "tilts")
     while True:
         here = at.select(F.col("source").alias("_s"), "tilt", "low", "high")
         rate = most / (1 + (most - 1) * F.exp(-F.greatest(F.least(F.col("tilt") * F.col("x"), F.lit(600.0)), F.lit(-600.0))))
@@ -77,7 +78,7 @@ def rates(cells: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
         moved = F.when(off < TOLERANCE, F.col("tilt")).when(inside, held).otherwise((low + high) / 2)
         # A source is settled when it meets its target, or when no number is left between the ends of its bracket.
         still = (off >= TOLERANCE) & (moved != F.col("tilt"))
-        at = cut(sums.select("source", moved.alias("tilt"), low.alias("low"), high.alias("high"), still.alias("open")))
+        at = compact(sums.select("source", moved.alias("tilt"), low.alias("low"), high.alias("high"), still.alias("open")), n, "tilts")
         unsettled = not at.where("open").isEmpty()
         at = at.drop("open")
         if not unsettled:
@@ -100,7 +101,8 @@ def cell_copies(rated: DataFrame, most: int = 2) -> DataFrame:
     running = F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, 0))
     earlier = F.coalesce(F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     copies = F.greatest(F.least(F.round(running) - F.round(earlier), F.col("n") * most), F.lit(0)).cast("long")
-    current = cut(rated.select("source", "size", "n", "target", copies.alias("copies")))
+    current = stored(rated.select("source", "size", "n", "target", copies.alias("copies")), "copies")
+    cells = current.count()
     while True:
         lack = current.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")).select(F.col("source").alias("_s"), "lack")
         open_ = F.when(F.col("lack") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
@@ -110,11 +112,11 @@ def cell_copies(rated: DataFrame, most: int = 2) -> DataFrame:
             F.max_by(F.struct("size", "lack", "open"), F.when(F.col("size") <= F.abs("lack"), F.col("size")).otherwise(-F.col("size"))).alias("b")
         ).where("b.size <= abs(b.lack) or 2 * abs(b.lack) > b.size")
         times = F.greatest(F.least(F.floor(F.abs("b.lack") / F.col("b.size")), F.col("b.open")), F.lit(1))
-        move = cut(best.select(F.col("source").alias("_s"), F.col("b.size").alias("_z"), (F.signum("b.lack") * times).cast("long").alias("_m")))
+        move = compact(best.select(F.col("source").alias("_s"), F.col("b.size").alias("_z"), (F.signum("b.lack") * times).cast("long").alias("_m")), cells, "moves")
         if move.isEmpty():
             break
         moved = current.join(move, _same("source", "_s") & (F.col("size") == F.col("_z")), "left")
-        current = cut(moved.select("source", "size", "n", "target", (F.col("copies") + F.coalesce("_m", F.lit(0))).alias("copies")))
+        current = compact(moved.select("source", "size", "n", "target", (F.col("copies") + F.coalesce("_m", F.lit(0))).alias("copies")), cells, "copies")
     return current.select("source", "size", "n", "copies")
 
 
@@ -127,8 +129,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
     """
     units = stored(docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "units")
     sized = units.groupBy("source", "size").agg(F.sum("rows").alias("n"))
-    cells = cut(sized.where("size > 0"))
-    goals = cut(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights))
+    cells = compact(sized.where("size > 0"), units.count(), "cells")
+    goals = stored(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights), "goals")
     chosen = cell_copies(rates(cells, goals.select("source", "target"), most), most)
     chosen = chosen.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all"))
     ranked = salted_ranks(units.where("size > 0"), ["source", "size"], ["doc_id"], weight="rows")

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a narrow table that make a part file worth its while: one to two megabytes.
+PART_ROWS = 50_000
+
 
 def build(master: str = "local[*]", app: str = "wxspark", shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the library expects: UTC, adaptive execution, Arrow for the few Python stages."""
@@ -64,3 +67,12 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def compact(df: DataFrame, rows: int, label: str = "table") -> DataFrame:
+    """``stored`` for a narrow table of about ``rows`` rows that comes out of a shuffle, in no more part files than it can fill.
+
+    A part file costs its writer a folder, two files and a process for the permissions of each on a local disk, however few rows it
+    has. Loops over small tables would pay that in every round for every shuffle partition.
+    """
+    return stored(df.coalesce(max(1, -(-rows // PART_ROWS))), label)
