@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from wxspark.llm.common import salted_ranks
 from wxspark.llm.tokens import encoded, id_rows
-from wxspark.session import stored
+from wxspark.session import small_batches, stored
+
+#: Rows and bytes of text that a worker gets at once while items are made.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 #: Columns of a plan row: items of ``size`` numbered ``first`` up to below ``stop`` lie ``each`` per sequence from
 #: sequence ``base`` on, the first of them at ``offset``.
@@ -134,10 +137,12 @@ def pack(items: DataFrame, capacity: int, order: list[str], length: str = "lengt
     """Add sequence_id and offset to ``items``, whose ``length`` is from 1 to ``capacity``.
 
     ``order`` names columns that identify an item; rows equal in all of them are interchangeable. Lengths of null, zero or
-    less take no place: both columns are null. A longer one raises an error. An empty table stays empty.
+    less take no place: both columns are null. A longer one raises an error. An empty table stays empty. ``items`` are made once,
+    from small batches where Python makes them.
     """
     size = F.col(length)
-    items = stored(items, "items")
+    with small_batches(items.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        items = stored(items, "items")
     counts = {r[0]: r[1] for r in items.where(size >= 1).groupBy(size.cast("long")).count().limit(capacity + 1).collect()}
     if counts and max(counts) > capacity:
         raise ValueError(f"an item is longer than {capacity}")

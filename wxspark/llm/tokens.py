@@ -167,7 +167,7 @@ def encoded(texts: pa.Array, path: str, end_id: int | None, most: int = SLICE_BY
     for start, stop in slices(texts, most):
         ids, n = e.encode(texts.slice(start, stop - start))
         if end_id is not None:
-            ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
+            ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1
         yield start, ids.astype("<u4", copy=False), n
 
@@ -175,4 +175,4 @@ def encoded(texts: pa.Array, path: str, end_id: int | None, most: int = SLICE_BY
 def id_rows(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Consecutive runs of ids as a binary array of little-endian unsigned 32-bit integers."""
     offsets = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(ids))])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Jobs that run inside send Python at most ``rows`` rows or about ``size`` bytes at once; a limit that the caller set stays as it is.
+
+    By default a batch has 10000 rows: of long texts that is a whole input split, which the engine and the Python worker of every
+    running task each hold in several copies.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    unset = [k for k in limits if spark.conf.get(k, None) is None]
+    for k in unset:
+        spark.conf.set(k, str(limits[k]))
+    try:
+        yield
+    finally:
+        for k in unset:
+            spark.conf.unset(k)
+
+
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a frame that several passes read to a table in the shared folder and read it back.
 
